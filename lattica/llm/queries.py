@@ -9,6 +9,8 @@ from importlib import import_module
 MODULES = {
     "op2_quality": "op2_quality",
     "op3_quality_rules": "op3_rules",
+    "op6_toxicity": "op6_toxicity",
+    "op8_langid": "op8_langid",
 }
 
 
