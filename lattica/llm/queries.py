@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 MODULES = {
+    "op1_winnow": "op1_winnow",
     "op2_quality": "op2_quality",
     "op3_quality_rules": "op3_rules",
     "op6_toxicity": "op6_toxicity",
