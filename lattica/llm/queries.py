@@ -13,6 +13,7 @@ MODULES = {
     "op6_toxicity": "op6_toxicity",
     "op7_neardup": "op7_neardup",
     "op8_langid": "op8_langid",
+    "op10_mixing": "op10_mixing",
 }
 
 
