@@ -91,3 +91,24 @@ def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(off, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def groups(batches, keys: list[str]):
+    """Runs of rows with equal keys, as lists of (key, rows as dicts of lists), from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        change = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[i] for c in cols)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as b
-from .common import attach, materialize, steps, table
+from .common import attach, groups, materialize, steps, table
 from .components import components, repoint
 
 VALUES, ORDERS, DEPTH, DEEPEST, REGION = 64, 32, 3, 5, 64
@@ -177,27 +177,6 @@ def _may(n: int, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _groups(batches, keys: list[str]):
-    """Runs of rows with equal keys, as lists of (key, rows as dicts of lists), from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy() for k in keys]
-        change = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[i] for c in cols)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _sets(column) -> list[np.ndarray]:
     chunk = column.combine_chunks()
     flat = chunk.flatten().to_numpy(zero_copy_only=False)
@@ -237,7 +216,7 @@ def confirm(docs: DataFrame, pools: DataFrame, words: int, percent: int) -> Data
     sets = materialize(texts.mapInArrow(sets_of, schema), "sets")
 
     def close(batches):
-        for _, rows in _groups(batches, ["pool", "block"]):
+        for _, rows in groups(batches, ["pool", "block"]):
             nodes = rows.column("node").to_numpy()
             label = _close(_sets(rows.column("grams")), nodes, percent)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label), *(rows.column(c).combine_chunks() for c in ("pool", "block", "many"))], names=["node", "label", "pool", "block", "many"])
@@ -253,7 +232,7 @@ def confirm(docs: DataFrame, pools: DataFrame, words: int, percent: int) -> Data
     quota = PIVOTS
 
     def compare(batches):
-        for _, rows in _groups(batches, ["pool", "block"]):
+        for _, rows in groups(batches, ["pool", "block"]):
             nodes, labels, pivot = (rows.column(c).to_numpy() for c in ("node", "label", "pivot"))
             own = _sets(rows.column("grams"))
             size = np.array([len(s) for s in own])
