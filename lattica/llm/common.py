@@ -34,22 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _scratch_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}"
+def _scratch_root(spark: SparkSession, area: str) -> str:
+    return f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}/{area}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, area: str = "scratch") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage)."""
     spark = df.sparkSession
-    path = f"{_scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_scratch_root(spark, area)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it only when no result still reads them."""
+def drop_scratch(spark: SparkSession, area: str = "scratch") -> None:
+    """Delete this application's tables of an area; call it only when no result still reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark, area))
     path.getFileSystem(conf).delete(path, True)
 
 

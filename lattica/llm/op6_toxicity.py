@@ -183,6 +183,21 @@ def score(docs: DataFrame, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_ordinary(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    if isinstance(model, float | int):
+        return docs if model < threshold else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in steps(batch):
+                keep = shared.value.score(shared.value.evidence(data, offsets)) < threshold
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
 

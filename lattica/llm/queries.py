@@ -11,6 +11,7 @@ MODULES = {
     "op2_quality": "op2_quality",
     "op3_quality_rules": "op3_rules",
     "op6_toxicity": "op6_toxicity",
+    "op4_packing": "op4_packing",
     "op5_suffix": "op5_suffix",
     "op7_neardup": "op7_neardup",
     "op8_langid": "op8_langid",
