@@ -15,6 +15,7 @@ MODULES = {
     "op5_suffix": "op5_suffix",
     "op7_neardup": "op7_neardup",
     "op8_langid": "op8_langid",
+    "op9_ids": "op9_ids",
     "op10_mixing": "op10_mixing",
 }
 
