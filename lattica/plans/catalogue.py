@@ -235,7 +235,7 @@ def _step(spark, d, program, mode, weight="none"):
     return superstep(initial(g, program), g.edges, program, mode).select("v", "val", "active")
 
 
-@query(sql.with_vertices("copart") + "SELECT v, CASE WHEN v = 0 THEN 0 WHEN v IN (SELECT dst FROM e WHERE src = 0) THEN 1 END AS val, v <> 0 AND v IN (SELECT dst FROM e WHERE src = 0) AS active FROM vs")
+@query(sql.with_vertices("copart") + "SELECT v, CASE WHEN v = 0 THEN CAST(0 AS BIGINT) WHEN v IN (SELECT dst FROM e WHERE src = 0) THEN CAST(1 AS BIGINT) END AS val, v <> 0 AND v IN (SELECT dst FROM e WHERE src = 0) AS active FROM vs")
 def step_bfs(spark, d):
     return _step(spark, d, algorithms.bfs_program(0), "push")
 

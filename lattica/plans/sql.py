@@ -115,7 +115,7 @@ def grid(k: int, owner: str | None, graph: str = "copart") -> str:
 
 def communication(k: int, owner: str) -> str:
     """CTEs over copart_q40: ends (owner, kind, v), comm (owner, n)."""
-    return _grid(k, "copart_q40") + f""", owned AS (SELECT CAST({owner} AS INT) AS owner, src, dst FROM e JOIN r s ON src >= s.a AND src < s.z JOIN r t ON dst >= t.a AND dst < t.z CROSS JOIN LATERAL (SELECT s.i AS i, t.i AS j)),
+    return _grid(k, "copart_q40") + f""", owned AS (SELECT CAST({owner} AS INT) AS owner, src, dst FROM e JOIN cells ON src >= a AND src < z AND dst >= c AND dst < d),
 ends AS (SELECT DISTINCT owner, 'recv' AS kind, src AS v FROM owned UNION SELECT owner, 'send', dst FROM owned),
 managed AS (SELECT CAST({owner} AS INT) AS owner, greatest(a, c) AS x, least(z, d) AS y FROM cells WHERE greatest(a, c) < least(z, d)),
 outside AS (SELECT * FROM ends WHERE NOT EXISTS (SELECT 1 FROM managed m WHERE m.owner = ends.owner AND v >= x AND v < y)),
