@@ -4,10 +4,13 @@
    128-bit digest of the set and 64 MinHash values. Documents of equal digest are
    one class, whose smallest doc_id stands for it.
 2. The forest: 32 signature orders. In order t a class has the label of MinHash
-   values number order_t[0], order_t[1], ...; all labels are sorted, and neighbours
-   whose longest common prefix reaches the depth of their region are candidates. A
-   region starts at DEPTH values and goes one deeper while more than REGION classes
-   share the prefix. Sorting ties by node splits even a label that a third of all
+   values number order_t[0], order_t[1], ...; all labels are sorted, and classes whose
+   longest common prefix reaches the depth of their region are neighbours. A region
+   starts at DEPTH values and goes one deeper while more than REGION classes share the
+   prefix (at DEEPEST each class has the REGION next ones as neighbours, and the one
+   beside it is a candidate in any case). Neighbours are candidates unless four bits of
+   each of their 64 values agree five standard deviations less often than those of sets
+   as alike as asked. Sorting ties by node splits even a label that a third of all
    classes share.
 3. Connected candidates form pools. In blocks of at most BLOCK classes, pools are
    closed exactly on full sets: any two classes of a block that no chain of links
@@ -36,7 +39,7 @@ from .common import attach, groups, materialize, steps, table
 from .components import components, repoint
 
 VALUES, ORDERS, DEPTH, DEEPEST, REGION = 64, 32, 3, 5, 64
-BLOCK = 32
+BLOCK = 64
 #: Pivots of a pool in the first round; four times as many in each further one.
 PIVOTS = 64
 
@@ -91,19 +94,24 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, vals binary")
 
 
+_WIDTH = 1 + 4 * DEEPEST
+_ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
+
+
 def _labels(batches):
-    """One row for each class and order: the order and its first DEEPEST values as sortable bytes."""
+    """One row for each class and order: the order and its first DEEPEST values as sortable bytes; four bits of each value."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             part = batch.slice(i, 2000)
             n = part.num_rows
             values = np.frombuffer(b"".join(part.column("vals").to_pylist()), np.uint8).reshape(n, VALUES, 4)
+            sketch = pa.array([x.tobytes() for x in (values[:, ::2, 3] & 15) << 4 | (values[:, 1::2, 3] & 15)], pa.binary())
             for t in range(ORDERS):
-                label = np.empty((n, 1 + 4 * DEEPEST), np.uint8)
+                label = np.empty((n, _WIDTH), np.uint8)
                 label[:, 0] = t
                 label[:, 1:] = values[:, _ORDER[t]].reshape(n, -1)
-                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1 + 4 * DEEPEST), n, [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([flat, part.column("node")], names=["label", "node"])
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_WIDTH), n, [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([flat, part.column("node"), sketch], names=["label", "node", "sketch"])
 
 
 def _depths(labels: np.ndarray) -> np.ndarray:
@@ -113,41 +121,74 @@ def _depths(labels: np.ndarray) -> np.ndarray:
     return np.maximum(same - 1, 0) // 4
 
 
-def _neighbours(batches):
-    """Candidates among the sorted labels of a partition; also its first and last label (v null)."""
-    width = 1 + 4 * DEEPEST
-    raw, nodes = [], []
-    for batch in batches:
-        raw.append(b"".join(batch.column("label").to_pylist()))
-        nodes.append(batch.column("node").to_numpy())
-    if not nodes or not sum(map(len, nodes)):
-        return
-    labels = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
-    node = np.concatenate(nodes)
-    depth = np.concatenate(([0], _depths(labels)))
-    need = np.full(len(node), DEPTH)
-    for d in range(DEPTH, DEEPEST):
-        run = np.cumsum(depth < d)  # number of the run of labels with d values in common
-        crowded = np.bincount(run, minlength=run[-1] + 1)[run] > REGION
-        need[crowded & (need == d)] = d + 1
-    pair = np.flatnonzero((depth >= need) & (depth > 0))
-    ends = [0, len(node) - 1]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate((node[pair], node[ends]))),
-            pa.array([*node[pair - 1].tolist(), None, None], pa.int64()),
-            pa.array([*[None] * len(pair), *(labels[i].tobytes() for i in ends)], pa.binary()),
-        ],
-        names=["u", "v", "label"],
-    )
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of neighbours in the forest. ``classes``: node, vals."""
+def _closed(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index of each index's component under the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _neighbours(least: float):
+    """Candidates among the sorted labels of a partition, as few pairs as connect them; also its first and last label (v null)."""
+
+    def run(batches):
+        raw, marks, nodes = [], [], []
+        for batch in batches:
+            raw.append(b"".join(batch.column("label").to_pylist()))
+            marks.append(b"".join(batch.column("sketch").to_pylist()))
+            nodes.append(batch.column("node").to_numpy())
+        if not sum(map(len, nodes)):
+            return
+        labels = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, _WIDTH)
+        sketch = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, VALUES // 2)
+        node = np.concatenate(nodes)
+        depth = np.concatenate(([0], _depths(labels)))
+        need = np.full(len(node), DEPTH)
+        for d in range(DEPTH, DEEPEST):
+            at = np.cumsum(depth < d)  # number of the run of labels with d values in common
+            crowded = np.bincount(at, minlength=at[-1] + 1)[at] > REGION
+            need[crowded & (need == d)] = d + 1
+        region = np.cumsum(depth < need)
+        size = np.bincount(region, minlength=region[-1] + 1)[region]
+        beside = np.flatnonzero((size > REGION) & (np.arange(len(node)) > 0) & (depth >= need))
+        pairs = [(beside - 1, beside)]
+        for k in range(1, REGION):
+            i = np.flatnonzero(region[:-k] == region[k:])
+            if not len(i):
+                break
+            i = i[_ALIKE[sketch[i] ^ sketch[i + k]].sum(1, dtype=np.int64) >= least]
+            pairs.append((i, i + k))
+        i, j = (np.concatenate([x[m] for x in pairs]) for m in (0, 1))
+        low = _closed(len(node), i, j)
+        pair = np.flatnonzero(low != np.arange(len(node)))
+        ends = [0, len(node) - 1]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((node[pair], node[ends]))),
+                pa.array([*node[low[pair]].tolist(), None, None], pa.int64()),
+                pa.array([*[None] * len(pair), *(labels[i].tobytes() for i in ends)], pa.binary()),
+            ],
+            names=["u", "v", "label"],
+        )
+
+    return run
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect the forest's candidates. ``classes``: node, vals."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = classes.mapInArrow(_labels, "label binary, node long")
-    found = materialize(labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_neighbours, "u long, v long, label binary"), "forest")
+    agree = percent / 100 + (1 - percent / 100) / 16
+    least = VALUES * agree - 5 * (VALUES * agree * (1 - agree)) ** 0.5
+    labels = classes.mapInArrow(_labels, "label binary, node long, sketch binary")
+    found = materialize(labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_neighbours(least), "u long, v long, label binary"), "forest")
     # two rows a partition: neighbours on either side of a bound
     ends = sorted((bytes(r.label), r.u) for r in found.where("v is null").select("label", "u").collect())
     seams = []
@@ -270,7 +311,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = materialize(scan(docs, words), "scan")
     classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     signed = attach(rows.select("doc_id", "vals"), classes.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
-    pools = components(candidates(signed))
+    pools = components(candidates(signed, percent))
     labels = materialize(confirm(docs, pools, words, percent), "labels")
     named = materialize(repoint(classes.withColumn("component_id", F.col("node")), "component_id", labels).select("d1", "d2", "component_id"), "named")
     out = rows.drop("vals").join(named, ["d1", "d2"], "left")
