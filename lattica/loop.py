@@ -4,7 +4,8 @@ A round is one written table. Edges are dealt by source once and kept (on disk i
 memory is short), so that a round only moves the frontier - by broadcast while Spark
 finds it small, else by one exchange - and the combined messages, which are
 pre-aggregated before they move. State is dealt by vertex and written with the
-active flag; the count that ends the loop reads that flag's column alone.
+active flag; the counts that steer the loop are observed by the tasks that write it, so
+a round is one job.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .operators.build import Graph
@@ -78,21 +79,20 @@ def run(graph: Graph, program: VertexProgram, direction: str = "auto", max_round
         done, log = _resumed(spark, where) if resume else (0, [])
         if done or (resume and exists(spark, f"{where}/round=0/_SUCCESS")):
             state = spark.read.parquet(f"{where}/round={done}")
+            active = state.where("active").agg(*_active()).first().asDict()
         else:
-            state = save(initial(graph, program).repartition(partitions(spark), "v"), f"{where}/round=0")
-        count = lambda s: s.where("active").agg(F.count("*").alias("n"), F.coalesce(F.sum("deg"), F.lit(0)).alias("e")).first()
+            state, active = _observed(initial(graph, program).repartition(partitions(spark), "v"), f"{where}/round=0")
         total = None
-        active = count(state)
-        while (limit is None or done < limit) and (program.rounds is not None or active.n):
+        while (limit is None or done < limit) and (program.rounds is not None or active["n"]):
             began = time.time()
             if direction == "auto" and total is None:
                 total = graph.vertices.agg(F.sum("out_degree")).first()[0] or 0
-            mode = direction if direction != "auto" else "push" if active.e < total // 20 else "pull"
+            mode = direction if direction != "auto" else "push" if active["e"] < total // 20 else "pull"
             last = limit is not None and done + 1 == limit
-            state = save(superstep(state, edges, program, mode, done + 1, last), f"{where}/round={done + 1}")
-            before, active = active, count(state)
+            before = active
+            state, active = _observed(superstep(state, edges, program, mode, done + 1, last), f"{where}/round={done + 1}")
             done += 1
-            log.append((done, before.n, before.e, active.n, mode, time.time() - began))
+            log.append((done, before["n"], before["e"], active["n"], mode, time.time() - began))
             if keep:
                 spark.createDataFrame([(json.dumps(log),)], "log string").coalesce(1).write.mode("overwrite").text(f"{where}/log={done}")
             if done > 1 and not keep:
@@ -102,6 +102,17 @@ def run(graph: Graph, program: VertexProgram, direction: str = "auto", max_round
         edges.unpersist()
 
 
+def _active() -> tuple:
+    return F.count_if(F.col("active")).alias("n"), F.coalesce(F.sum(F.when(F.col("active"), F.col("deg"))), F.lit(0)).alias("e")
+
+
+def _observed(state: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Writes a state and counts its active vertices (n) and their out-edges (e) on the way."""
+    seen = Observation()
+    out = save(state.observe(seen, *_active()), path)
+    return out, seen.get
+
+
 def _resumed(spark, where: str) -> tuple[int, list]:
     """The last round of which state and log are whole."""
     done = 0
