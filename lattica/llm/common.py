@@ -8,6 +8,7 @@ single document is longer than that).
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -53,6 +54,12 @@ def drop_scratch(spark: SparkSession, area: str = "scratch") -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget frames that nobody holds any more, so that executors delete their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

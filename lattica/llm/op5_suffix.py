@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as b
-from .common import STEP_BYTES, groups, materialize, steps, table
+from .common import groups, materialize, release, steps, table
 
 LENGTH = 200
 GRAM = 16
@@ -49,19 +49,23 @@ RANGE_ANCHORS = 4000
 #: The filter of repeated anchors has at most 2**FILTER_BITS bits; beyond that it lets more through, which only costs time.
 FILTER_BITS = 28
 _HELD = 1 << 20
+#: Records of one run.
+RUN_RECORDS = 40_000
 
 
 def _doubled(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Hashes of all strings of 1, 2, 4, ... ``most`` bytes, by start (beyond the end: zeros)."""
+    """Hashes of all strings of GRAM and of ``most`` bytes (powers of two), by start (beyond the end: zeros)."""
     h = b.mix(data.astype(np.uint64) + np.uint64(1))
-    out, n, factor = {1: h}, 1, int(b.BASE)
+    out, n, factor = {}, 1, int(b.BASE)
     while n < most:
         beyond = np.zeros_like(h)
         beyond[: max(len(h) - n, 0)] = h[n:]
-        h = h * np.uint64(factor) + beyond
+        h = h * np.uint64(factor)
+        h += beyond
         factor = factor * factor % (1 << 64)
         n *= 2
-        out[n] = h
+        if n in (GRAM, most):
+            out[n] = h
     return out
 
 
@@ -146,7 +150,7 @@ def _anchors(length: int):
 
         def flush():
             g, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_int(g), pa.array(n)], names=["g", "n"])
+            return pa.RecordBatch.from_arrays([_int(np.concatenate((g, g[n > 1])))], names=["g"])
 
         for batch in batches:
             for _, data, offsets in steps(batch):
@@ -162,6 +166,12 @@ def _anchors(length: int):
 
 
 def _places(length: int, twice):
+    """Segments with repeated anchors: document id, anchor hash, content hash, and place.
+
+    A place is first window start << 32 | windows - 1 << 24 | 24 bits of the text's hash,
+    which keep rows apart that share an id.
+    """
+
     def run(batches):
         known = twice.value
         for batch in batches:
@@ -169,8 +179,9 @@ def _places(length: int, twice):
                 doc, first, last, _, g, h, _ = segments(data, offsets, length)
                 ok = known.has(g)
                 doc, first, last = doc[ok], first[ok], last[ok]
-                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), _int(g[ok]), _int(h[ok]), pa.array(first - offsets[doc]), pa.array(last - offsets[doc])], names=["id", "key", "g", "h", "first", "last"])
+                ids, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
+                place = (first - offsets[doc]) << 32 | (last - first) << 24 | tags[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), _int(g[ok]), _int(h[ok]), pa.array(place)], names=["id", "g", "h", "place"])
 
     return run
 
@@ -282,58 +293,78 @@ def merge_runs(runs):
 
 
 def _runs(length: int, mixed, crowded, range_bits: int):
-    """Front-coded runs by range of the order; crowded anchors' windows."""
+    """Front-coded runs by range of the order, of segments whose anchors have several contents but no crowd."""
 
     def run(batches):
         known, crowd = mixed.value, crowded.value
         held: dict[tuple[int, int], list] = {}
 
         def flush():
-            order = sorted((int(g).to_bytes(8, "big") + text, int(g), h, n, left) for (g, h), (text, n, left) in held.items())
-            cut = [x[1] >> (64 - range_bits) if range_bits else 0 for x in order]
+            order = sorted((int(g).to_bytes(8, "big") + text, h, n, left) for (g, h), (text, n, left) in held.items())
+            held.clear()
+            cut = [int.from_bytes(x[0][:8], "big") >> (64 - range_bits) for x in order]
             i = 0
             while i < len(order):
                 j = i
                 while j < len(order) and cut[j] == cut[i]:
                     j += 1
-                part = order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([cut[i]]), pa.array([encode_run([x[0] for x in part], [(x[2], min(x[3], 2), x[4]) for x in part])]), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int64()))], names=names)
+                coded = encode_run([x[0] for x in order[i:j]], [(x[1], min(x[2], 2), x[3]) for x in order[i:j]])
+                yield pa.RecordBatch.from_arrays([pa.array([cut[i]]), pa.array([coded])], names=["cut", "run"])
                 i = j
 
-        names = ["cut", "run", "g", "h", "windows"]
-        size = 0
         for batch in batches:
             for _, data, offsets in steps(batch):
-                _, first, last, p, g, h, doubled = segments(data, offsets, length)
-                if not len(g):
-                    continue
-                dense = np.isin(g, crowd)
-                for i in np.flatnonzero(dense):
-                    w = _windows(doubled, np.arange(first[i], last[i] + 1), _level(length), length)
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), _int(g[i : i + 1]), _int(h[i : i + 1]), pa.array([w.view(np.int64).tolist()], pa.list_(pa.int64()))], names=names)
+                _, first, last, p, g, h, _ = segments(data, offsets, length)
                 raw = data.tobytes()
-                for i in np.flatnonzero(known.has(g) & ~dense):
+                for i in np.flatnonzero(known.has(g) & ~np.isin(g, crowd)):
                     key = (int(g[i]), int(h[i].view(np.int64)))
                     if key in held:
                         held[key][1] += 1
                     else:
                         held[key] = [raw[p[i] : last[i] + length] + raw[first[i] : p[i]], 1, int(p[i] - first[i])]
-                        size += 300
-                if size > 48 * STEP_BYTES:
+                if len(held) > RUN_RECORDS:
                     yield from flush()
-                    held, size = {}, 0
         if held:
             yield from flush()
 
     return run
 
 
+def _crowd_windows(length: int, crowded):
+    """Window hashes of segments whose anchors are crowded; each content once a partition, with its number there."""
+
+    def run(batches):
+        crowd = crowded.value
+        held: dict[tuple[int, int], list] = {}
+
+        def flush():
+            rows = [(g, h, n, w) for (g, h), (n, w) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["g", "h", "n", "windows"])
+
+        for batch in batches:
+            for _, data, offsets in steps(batch):
+                _, first, last, _, g, h, doubled = segments(data, offsets, length)
+                for i in np.flatnonzero(np.isin(g, crowd)):
+                    key = (int(g[i].view(np.int64)), int(h[i].view(np.int64)))
+                    if key in held:
+                        held[key][0] += 1
+                    else:
+                        held[key] = [1, _windows(doubled, np.arange(first[i], last[i] + 1), _level(length), length).view(np.int64)]
+                if len(held) > RUN_RECORDS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
 def _match(length: int):
     """Merges the runs of each range; which windows of contents that occur once are repeated."""
 
     def group(keys: list, out: list) -> None:
         # the group's segments, turned back: (text, content hash, count)
-        texts = [k[8 + len(k) - 8 - left :] + k[8 : len(k) - left] if left else k[8:] for k, _, _, left in keys]
+        texts = [k[len(k) - left :] + k[8 : len(k) - left] for k, _, _, left in keys]
         data = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.cumsum([0, *map(len, texts)])
         level = _level(length)
@@ -375,74 +406,95 @@ def _match(length: int):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, key, start, end: byte spans (half open) that repeated strings cover. docs: id, key, text."""
+    """id, tag, first (of the segment), a, z: windows of the segment, from a to z, that are repeated; null: all.
+
+    docs: id, tag, text.
+    """
+    if length < 2 * GRAM or length - GRAM > 255 or 2 * length - GRAM > 3 * _level(length):
+        raise ValueError(f"strings of {length} bytes aren't supported (100 and 200 are)")
     spark = docs.sparkSession
     sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    twice = materialize(docs.select("text").mapInArrow(_anchors(length), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "anchors")
+    twice = materialize(docs.select("text").mapInArrow(_anchors(length), "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
     seen = sc.broadcast(Filter.of(twice, twice.count()))
-    places = materialize(docs.mapInArrow(_places(length, seen), "id long, key long, g long, h long, first long, last long"), "places")
+    places = materialize(docs.mapInArrow(_places(length, seen), "id long, g long, h long, place long"), "places")
     contents = materialize(places.groupBy("g", "h").agg(F.count("*").alias("n")), "contents")
     several = materialize(contents.groupBy("g").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    release(spark)
     n = several.count()
-    spans = places.join(contents.where("n > 1").select("g", "h"), ["g", "h"]).select("id", "key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    if not n:
-        return spans
-    # at most one anchor in CROWD contents is crowded
-    crowd = several.where(F.col("variants") > CROWD).select("g").toArrow().column("g").to_numpy().view(np.uint64)
-    mixed, crowded = sc.broadcast(Filter.of(several, n)), sc.broadcast(np.sort(crowd))
-    range_bits = max(6, (n // RANGE_ANCHORS).bit_length())
-    sent = materialize(docs.select("text").mapInArrow(_runs(length, mixed, crowded, range_bits), "cut long, run binary, g long, h long, windows array<long>"), "runs")
-    schema = "g long, h long, a array<long>, z array<long>"
-    partial = sent.where("cut is not null").select("cut", "run").repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), schema)
-    verdicts = partial
-    if len(crowd):
-        dense = sent.where("g is not null").select("g", "h", "windows")
-        each = dense.groupBy("g", "h").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-        each = materialize(each, "crowd")
-        again = materialize(each.select("g", "n", F.explode("windows").alias("w")).groupBy("g", "w").agg(F.sum("n").alias("n")).where("n > 1").select("g", "w"), "again")
-        hit = each.where("n = 1").select("g", "h", F.posexplode("windows").alias("i", "w")).join(again, ["g", "w"]).select("g", "h", F.col("i").cast("long").alias("i"))
-        verdicts = verdicts.unionByName(hit.groupBy("g", "h").agg(F.collect_list("i").alias("a")).withColumn("z", F.col("a")))
+    none = F.lit(None).cast("array<long>")
+    verdicts = contents.where("n > 1").select("g", "h", none.alias("a"), none.alias("z"))
+    if n:
+        # at most one anchor in CROWD contents is crowded
+        crowd = several.where(F.col("variants") > CROWD).select("g").toArrow().column("g").to_numpy().view(np.uint64)
+        mixed, crowded = sc.broadcast(Filter.of(several, n)), sc.broadcast(np.sort(crowd))
+        range_bits = max(6, (n // RANGE_ANCHORS).bit_length())
+        sent = docs.select("text").mapInArrow(_runs(length, mixed, crowded, range_bits), "cut long, run binary")
+        partial = sent.repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), "g long, h long, a array<long>, z array<long>")
+        verdicts = verdicts.unionByName(materialize(partial, "matches"))
+        if len(crowd):
+            dense = docs.select("text").mapInArrow(_crowd_windows(length, crowded), "g long, h long, n long, windows array<long>")
+            each = materialize(dense.groupBy("g", "h").agg(F.sum("n").alias("n"), F.first("windows").alias("windows")), "crowd")
+            again = materialize(each.select("g", "n", F.explode("windows").alias("w")).groupBy("g", "w").agg(F.sum("n").alias("n")).where("n > 1").select("g", "w"), "again")
+            hit = each.where("n = 1").select("g", "h", F.posexplode("windows").alias("i", "w")).join(again, ["g", "w"]).select("g", "h", F.col("i").cast("long").alias("i"))
+            verdicts = verdicts.unionByName(hit.groupBy("g", "h").agg(F.collect_list("i").alias("a")).withColumn("z", F.col("a")))
     verdicts = materialize(verdicts, "verdicts")
-    some = places.join(verdicts, ["g", "h"]).select("id", "key", F.explode(F.arrays_zip("a", "z")).alias("w"), "first")
-    return spans.unionByName(some.select("id", "key", (F.col("first") + F.col("w.a")).alias("start"), (F.col("first") + F.col("w.z") + length).alias("end")))
-
-
-def _cut(batches):
-    """Texts without their spans: id columns, n_bytes, n_removed, n_spans, digest and the rest as text."""
-    for batch in batches:
-        for part, data, offsets in steps(batch):
-            spans = part.column("spans").to_pylist()
-            raw = data.tobytes()
-            out = []
-            for i, own in enumerate(spans):
-                text = raw[offsets[i] : offsets[i + 1]]
-                kept, removed, n, at = [], 0, 0, 0
-                reach = -1
-                for span in sorted((s["start"], s["end"]) for s in own or ()):
-                    if span[0] > reach:
-                        kept.append(text[max(at, 0) : span[0]])
-                        n += 1
-                        removed += span[1] - span[0]
-                        reach = at = span[1]
-                    elif span[1] > reach:
-                        removed += span[1] - reach
-                        reach = at = span[1]
-                kept.append(text[at:])
-                rest = b"".join(kept) if n else text
-                out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-            names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=names)
+    found = materialize(places.join(verdicts, ["g", "h"]).select("id", "place", "a", "z"), "found")
+    release(spark)
+    return found
+
+
+def _spans(places: list, length: int):
+    """Byte spans (half open) that the repeated windows of a document cover, ascending and apart."""
+    own = []
+    for p in places or ():
+        first, more = p["place"] >> 32, p["place"] >> 24 & 255
+        if p["a"] is None:
+            own.append((first, first + more + length))
+        else:
+            own += [(first + a, first + z + length) for a, z in zip(p["a"], p["z"], strict=True)]
+    out: list[list[int]] = []
+    for start, end in sorted(own):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _cut(length: int):
+    """Texts without their repeated spans: n_bytes, n_removed, n_spans, digest and the rest as text."""
+
+    def run(batches):
+        names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for batch in batches:
+            for part, data, offsets in steps(batch):
+                raw, out = data.tobytes(), []
+                for i, places in enumerate(part.column("places").to_pylist()):
+                    text = raw[offsets[i] : offsets[i + 1]]
+                    spans = _spans(places, length)
+                    at, kept = 0, []
+                    for start, end in spans:
+                        kept.append(text[at:start])
+                        at = end
+                    kept.append(text[at:])
+                    rest = b"".join(kept)
+                    out.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...) as a struct ``row``-free table with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text)."""
+    """All columns of ``docs`` but text, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text)."""
     others = [c for c in docs.columns if c != "text"]
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), key.alias("key"), "text")
-    spans = repeats(named.select("id", "key", "text"), length).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 24))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tag.alias("tag"), "text")
+    found = repeats(named.select("id", "tag", "text"), length)
+    places = found.groupBy("id", F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("tag")).agg(F.collect_list(F.struct("place", "a", "z")).alias("places"))
     kind = dict(named.dtypes)["row"]
-    cut = named.join(spans, ["id", "key"], "left").select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = named.join(places, ["id", "tag"], "left").select("row", "text", "places").mapInArrow(_cut(length), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
