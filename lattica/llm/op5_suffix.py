@@ -10,8 +10,8 @@ windows of one anchor in one document are a segment.
 1. Segments' anchor hashes are counted; segments whose anchor occurs once are done.
 2. The others are listed by document and counted by content. Content that occurs
    twice is repeated as a whole.
-3. Anchors with different contents (a passage's edges, edited copies) go through the
-   sort: each task sorts its rotated segments (from the anchor to the end, then what
+3. Of anchors with different contents (a passage's edges, edited copies) one place of
+   each content goes through the sort: each task sorts its rotated segments (from the anchor to the end, then what
    is before the anchor), front-codes the run (common prefix with the one before, and
    the rest) and sends it, cut by ranges of the order; each range merges its runs with
    a loser tree that keeps the common prefix of each run's head with the last winner,
@@ -34,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +119,25 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     return doc, first, last, p, gram[p], content, h
 
 
+def _xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns (the public algorithm on 8 bytes, each column seeded by the one before)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = h + p5 + np.uint64(8)
+        h ^= turn(c.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h
+
+
 class Filter:
-    """A set of anchor hashes as a bitmap; it may let others through."""
+    """A set of hashes as a bitmap; it may let others through."""
 
     def __init__(self, bits: int):
         self.bits, self.map = bits, np.zeros(1 << (bits - 3), np.uint8)
@@ -129,10 +147,10 @@ class Filter:
         return (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
     @classmethod
-    def of(cls, anchors: DataFrame, count: int) -> Filter:
+    def of(cls, hashes: DataFrame, count: int) -> Filter:
         """The bitmap is made on the cluster in pieces of 4 KB; only it comes to the driver."""
         out = cls(min(FILTER_BITS, max(18, (16 * count).bit_length())))
-        spot = anchors.select(F.shiftrightunsigned("g", 64 - out.bits).alias("s"))
+        spot = hashes.select(F.shiftrightunsigned(hashes.columns[0], 64 - out.bits).alias("s"))
         pieces = spot.groupBy(F.floor(F.col("s") / 32768).alias("k")).agg(F.bitmap_construct_agg((F.col("s") % 32768)).alias("m"))
         got = pieces.toArrow()
         for k, m in zip(got.column("k").to_pylist(), got.column("m").to_pylist(), strict=True):
@@ -165,23 +183,28 @@ def _anchors(length: int):
     return run
 
 
-def _places(length: int, twice):
-    """Segments with repeated anchors: document id, anchor hash, content hash, and place.
+def _placed(part, data, offsets, length: int):
+    """Segments of a slice as document id, anchor hash, content hash, place; and segments() itself.
 
     A place is first window start << 32 | windows - 1 << 24 | 24 bits of the text's hash,
     which keep rows apart that share an id.
     """
+    found = segments(data, offsets, length)
+    doc, first, last, _, g, h, _ = found
+    ids, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
+    return ids[doc], g, h, (first - offsets[doc]) << 32 | (last - first) << 24 | tags[doc], found
+
+
+def _places(length: int, twice):
+    """Where segments with repeated anchors are."""
 
     def run(batches):
         known = twice.value
         for batch in batches:
             for part, data, offsets in steps(batch):
-                doc, first, last, _, g, h, _ = segments(data, offsets, length)
+                ids, g, h, place, _ = _placed(part, data, offsets, length)
                 ok = known.has(g)
-                doc, first, last = doc[ok], first[ok], last[ok]
-                ids, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
-                place = (first - offsets[doc]) << 32 | (last - first) << 24 | tags[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), _int(g[ok]), _int(h[ok]), pa.array(place)], names=["id", "g", "h", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), _int(g[ok]), _int(h[ok]), pa.array(place[ok])], names=["id", "g", "h", "place"])
 
     return run
 
@@ -190,7 +213,7 @@ def _places(length: int, twice):
 
 
 def encode_run(keys: list[bytes], marks: list[tuple[int, int, int]]) -> bytes:
-    """Front-codes ascending keys: common prefix, rest, and each record's content hash, count and anchor offset."""
+    """Front-codes ascending keys: common prefix, rest (all rests compressed), and each record's content hash, count and anchor offset."""
     n = len(keys)
     common, rest = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
     tails = []
@@ -201,7 +224,7 @@ def encode_run(keys: list[bytes], marks: list[tuple[int, int, int]]) -> bytes:
         tails.append(key[k:])
         before = key
     h, count, left = (np.array([m[j] for m in marks], t) for j, t in ((0, np.int64), (1, np.uint8), (2, np.uint16)))
-    return np.array([n], np.uint32).tobytes() + common.tobytes() + rest.tobytes() + h.tobytes() + count.tobytes() + left.tobytes() + b"".join(tails)
+    return np.array([n], np.uint32).tobytes() + common.tobytes() + rest.tobytes() + h.tobytes() + count.tobytes() + left.tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(tails))
 
 
 def decode_run(raw: bytes):
@@ -211,9 +234,9 @@ def decode_run(raw: bytes):
     for t in (np.uint16, np.uint16, np.int64, np.uint8, np.uint16):
         cols.append(np.frombuffer(raw, t, n, at).tolist())
         at += n * np.dtype(t).itemsize
-    key = b""
+    tails, at, key = zstandard.ZstdDecompressor().decompress(raw[at:]), 0, b""
     for common, rest, h, count, left in zip(*cols, strict=True):
-        key = key[:common] + raw[at : at + rest]
+        key = key[:common] + tails[at : at + rest]
         at += rest
         yield common, key, h, count, left
 
@@ -292,11 +315,11 @@ def merge_runs(runs):
             node //= 2
 
 
-def _runs(length: int, mixed, crowded, range_bits: int):
-    """Front-coded runs by range of the order, of segments whose anchors have several contents but no crowd."""
+def _runs(length: int, chosen, crowded, range_bits: int):
+    """Front-coded runs by range of the order, of the segments at chosen places whose anchors have no crowd."""
 
     def run(batches):
-        known, crowd = mixed.value, crowded.value
+        known, crowd = chosen.value, crowded.value
         held: dict[tuple[int, int], list] = {}
 
         def flush():
@@ -313,10 +336,10 @@ def _runs(length: int, mixed, crowded, range_bits: int):
                 i = j
 
         for batch in batches:
-            for _, data, offsets in steps(batch):
-                _, first, last, p, g, h, _ = segments(data, offsets, length)
+            for part, data, offsets in steps(batch):
+                ids, g, h, place, (_, first, last, p, _, _, _) = _placed(part, data, offsets, length)
                 raw = data.tobytes()
-                for i in np.flatnonzero(known.has(g) & ~np.isin(g, crowd)):
+                for i in np.flatnonzero(known.has(_xxhash64(ids, place)) & ~np.isin(g, crowd)):
                     key = (int(g[i]), int(h[i].view(np.int64)))
                     if key in held:
                         held[key][1] += 1
@@ -418,7 +441,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = materialize(docs.select("text").mapInArrow(_anchors(length), "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
     seen = sc.broadcast(Filter.of(twice, twice.count()))
     places = materialize(docs.mapInArrow(_places(length, seen), "id long, g long, h long, place long"), "places")
-    contents = materialize(places.groupBy("g", "h").agg(F.count("*").alias("n")), "contents")
+    contents = materialize(places.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(F.xxhash64("id", "place")).alias("one")), "contents")
     several = materialize(contents.groupBy("g").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
     release(spark)
     n = several.count()
@@ -427,9 +450,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if n:
         # at most one anchor in CROWD contents is crowded
         crowd = several.where(F.col("variants") > CROWD).select("g").toArrow().column("g").to_numpy().view(np.uint64)
-        mixed, crowded = sc.broadcast(Filter.of(several, n)), sc.broadcast(np.sort(crowd))
+        ones = materialize(contents.join(several, "g", "left_semi").select("one"), "ones")
+        chosen, crowded = sc.broadcast(Filter.of(ones, ones.count())), sc.broadcast(np.sort(crowd))
         range_bits = max(6, (n // RANGE_ANCHORS).bit_length())
-        sent = docs.select("text").mapInArrow(_runs(length, mixed, crowded, range_bits), "cut long, run binary")
+        sent = docs.mapInArrow(_runs(length, chosen, crowded, range_bits), "cut long, run binary")
         partial = sent.repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), "g long, h long, a array<long>, z array<long>")
         verdicts = verdicts.unionByName(materialize(partial, "matches"))
         if len(crowd):
