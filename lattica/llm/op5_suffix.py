@@ -116,7 +116,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     h, end = doubled[level], last + length
     middle = np.minimum(first + level, end - level)
     content = b.mix(b.mix(h[first] + b.mix(h[middle])) + b.mix(h[end - level] ^ np.uint64(0xABCDEF)) + ((end - first) * 1024 + (p - first)).astype(np.uint64))
-    return doc, first, last, p, gram[p], content, h
+    # smallest hashes crowd near zero: mixed again, they spread over ranges and filters
+    return doc, first, last, p, b.mix(gram[p] + np.uint64(1)), content, h
 
 
 def _xxhash64(*columns: np.ndarray) -> np.ndarray:
@@ -511,8 +512,8 @@ def _cut(length: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs`` but text, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text)."""
-    others = [c for c in docs.columns if c != "text"]
+    """All columns of ``docs`` but text and those named here, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text)."""
+    others = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 24))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tag.alias("tag"), "text")
     found = repeats(named.select("id", "tag", "text"), length)
