@@ -17,8 +17,10 @@ windows of one anchor in one document are a segment.
    a loser tree that keeps the common prefix of each run's head with the last winner,
    and compares bytes only beyond it. Neighbours that share the anchor's 16 bytes form
    a group, in which windows are matched.
-4. An anchor with more than CROWD contents would make a group without a bound; its
-   windows are counted by hash over the cluster instead.
+4. An anchor with more than CROWD contents would make a group without a bound. Its
+   windows are matched by counts over the cluster instead, in blocks of windows:
+   blocks whose bytes occur twice are repeated as a whole, blocks whose common bytes
+   occur in one content only are not, and the others go on in smaller blocks.
 
 Window matches inside a group are by 64-bit hashes within equal anchors; content is
 identified by 128 bits (anchor hash and content hash).
@@ -45,6 +47,8 @@ LENGTH = 200
 GRAM = 16
 #: Contents of one anchor, at most, that are matched in one group.
 CROWD = 1000
+#: Windows of a block, at most, for anchors in more contents; then blocks of 8, then single windows.
+LARGEST_BLOCK = 32
 #: Anchors of one range of the order, about.
 RANGE_ANCHORS = 4000
 #: The filter of repeated anchors has at most 2**FILTER_BITS bits; beyond that it lets more through, which only costs time.
@@ -354,28 +358,58 @@ def _runs(length: int, chosen, crowded, range_bits: int):
     return run
 
 
-def _crowd_windows(length: int, crowded):
-    """Window hashes of segments whose anchors are crowded; each content once a partition, with its number there."""
+def _levels(length: int) -> tuple[int, ...]:
+    """Block sizes, each a multiple of the next, whose strings are between one and two hashed levels long."""
+    level = _level(length)
+    top = min(LARGEST_BLOCK, 2 * level - length + 1, length - level + 1) // 8 * 8
+    return tuple(sorted({top, 8, 1}, reverse=True)) if top >= 8 else (1,)
+
+
+def _hash_of(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of strings of sizes between level and 2 * level at ``starts``; h: hashes of ``level`` bytes."""
+    return b.mix(h[starts] + b.mix(h[starts + sizes - level] ^ np.uint64(0x9E3779B97F4A7C15)) + sizes.astype(np.uint64))
+
+
+_BLOCK = "struct<core:bigint,whole:bigint,lo:bigint,hi:bigint>"
+
+
+def _crowd_blocks(length: int, crowded):
+    """Blocks, by level, of segments whose anchors are crowded; each content once a partition, with its number there.
+
+    A block holds the windows at offsets k * size ... (k + 1) * size - 1 from the anchor, as far as
+    the segment has them (lo to hi, counted from its first). ``core`` stands for k and the bytes that all
+    windows at those offsets have in common, ``whole`` for the bytes of all windows of the block.
+    """
+    level, sizes = _level(length), _levels(length)
+
+    def blocks(h, first: int, last: int, p: int, size: int) -> list[dict]:
+        k = np.arange((p - last) // size, (p - first) // size + 1)
+        high, low = np.minimum(k * size + size - 1, p - first), np.maximum(k * size, p - last)
+        core = b.mix(_hash_of(h, p - k * size, np.full(len(k), length - size + 1), level) + k.astype(np.uint64))
+        whole = b.mix(_hash_of(h, p - high, length + high - low, level) + (low * 1024 + high).astype(np.uint64)) if size > 1 else core
+        return [{"core": c, "whole": w, "lo": x, "hi": y} for c, w, x, y in zip(core.view(np.int64).tolist(), whole.view(np.int64).tolist(), (p - high - first).tolist(), (p - low - first).tolist(), strict=True)]
 
     def run(batches):
         crowd = crowded.value
         held: dict[tuple[int, int], list] = {}
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("core", "whole", "lo", "hi")]))
 
         def flush():
-            rows = [(g, h, n, w) for (g, h), (n, w) in held.items()]
+            rows = [(g, h, n, *levels) for (g, h), (n, levels) in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["g", "h", "n", "windows"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *(kind for _ in sizes))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["g", "h", "n", *(f"b{x}" for x in sizes)])
 
         for batch in batches:
             for _, data, offsets in steps(batch):
-                _, first, last, _, g, h, doubled = segments(data, offsets, length)
+                _, first, last, p, g, h, doubled = segments(data, offsets, length)
                 for i in np.flatnonzero(np.isin(g, crowd)):
                     key = (int(g[i].view(np.int64)), int(h[i].view(np.int64)))
                     if key in held:
                         held[key][0] += 1
                     else:
-                        held[key] = [1, _windows(doubled, np.arange(first[i], last[i] + 1), _level(length), length).view(np.int64)]
-                if len(held) > RUN_RECORDS:
+                        held[key] = [1, [blocks(doubled, int(first[i]), int(last[i]), int(p[i]), x) for x in sizes]]
+                if len(held) > RUN_RECORDS // 10:
                     yield flush()
         if held:
             yield flush()
@@ -383,6 +417,33 @@ def _crowd_windows(length: int, crowded):
     return run
 
 
+def _crowd_matches(docs: DataFrame, length: int, crowded) -> DataFrame:
+    """g, h, a, z of the repeated windows of contents that occur once at crowded anchors."""
+    sizes = _levels(length)
+    schema = "g long, h long, n long, " + ", ".join(f"b{x} array<{_BLOCK}>" for x in sizes)
+    found = docs.select("text").mapInArrow(_crowd_blocks(length, crowded), schema)
+    each = materialize(found.groupBy("g", "h").agg(F.sum("n").alias("n"), *[F.first(f"b{x}").alias(f"b{x}") for x in sizes]), "crowd")
+    items = each.select("g", "h", "n", F.explode(f"b{sizes[0]}").alias("b")).select("g", "h", "n", "b.*")
+    hits = []
+    for k in range(len(sizes)):
+        items = materialize(items, "blocks")
+        wholes = materialize(items.groupBy("g", "core", "whole").agg(F.sum("n").alias("all"), F.min("h").alias("one")), "wholes")
+        twice = wholes.where("`all` > 1").select("g", "core", "whole")
+        hits.append(items.where("n = 1").join(twice, ["g", "core", "whole"]).select("g", "h", "lo", "hi"))
+        if k + 1 < len(sizes):
+            mixed = materialize(wholes.groupBy("g", "core").agg(F.count("*").alias("v")).where("v > 1").select("g", "core"), "cores")
+            # one content stands for all that share a block's bytes; it's no longer asked for, only compared with
+            asked = wholes.join(mixed, ["g", "core"], "left_semi").select("g", "core", "whole", F.col("one").alias("h"), F.least("all", F.lit(2)).alias("times"))
+            where = items.select("g", "core", "whole", "h", "lo", "hi").join(asked, ["g", "core", "whole", "h"]).select("g", "h", F.col("lo").alias("from"), F.col("hi").alias("to"), "times")
+            inner = F.filter(f"b{sizes[k + 1]}", lambda x: (x["lo"] >= F.col("from")) & (x["hi"] <= F.col("to")))
+            items = where.join(each.select("g", "h", f"b{sizes[k + 1]}"), ["g", "h"]).select("g", "h", F.col("times").alias("n"), F.explode(inner).alias("b")).select("g", "h", "n", "b.*")
+    every = hits[0]
+    for x in hits[1:]:
+        every = every.unionByName(x)
+    spans = every.groupBy("g", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
+    return spans.select("g", "h", F.transform("s", lambda x: x["lo"]).alias("a"), F.transform("s", lambda x: x["hi"]).alias("z"))
+
+
 def _match(length: int):
     """Merges the runs of each range; which windows of contents that occur once are repeated."""
 
@@ -458,11 +519,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         partial = sent.repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), "g long, h long, a array<long>, z array<long>")
         verdicts = verdicts.unionByName(materialize(partial, "matches"))
         if len(crowd):
-            dense = docs.select("text").mapInArrow(_crowd_windows(length, crowded), "g long, h long, n long, windows array<long>")
-            each = materialize(dense.groupBy("g", "h").agg(F.sum("n").alias("n"), F.first("windows").alias("windows")), "crowd")
-            again = materialize(each.select("g", "n", F.explode("windows").alias("w")).groupBy("g", "w").agg(F.sum("n").alias("n")).where("n > 1").select("g", "w"), "again")
-            hit = each.where("n = 1").select("g", "h", F.posexplode("windows").alias("i", "w")).join(again, ["g", "w"]).select("g", "h", F.col("i").cast("long").alias("i"))
-            verdicts = verdicts.unionByName(hit.groupBy("g", "h").agg(F.collect_list("i").alias("a")).withColumn("z", F.col("a")))
+            verdicts = verdicts.unionByName(_crowd_matches(docs, length, crowded))
     verdicts = materialize(verdicts, "verdicts")
     found = materialize(places.join(verdicts, ["g", "h"]).select("id", "place", "a", "z"), "found")
     release(spark)
