@@ -10,7 +10,9 @@ prefix of documents that fits, in the seeded order of md5(seed:epoch:doc_id).
 
 A leaf's prefix is found by digits of that order: token sums by two hex digits,
 then by the next two within the digits where the budget ends, until a handful of
-documents is left, so no leaf is sorted or gathered, however large.
+documents is left, so no leaf is sorted or gathered, however large. Documents of equal
+md5 (no id, a repeated id) are told apart by further digits: their tokens, then a
+number of their own, mixed. Digits that all undecided documents share are skipped.
 
 Defined results: a null text has no tokens; null lang and source are "none"; every
 node needs a positive weight (``default`` if it has no own); shares are rounded
@@ -32,6 +34,8 @@ from .common import attach, materialize, table
 LEVELS = ("domain", "lang", "source")
 #: Documents of a leaf that one task may order by itself.
 LAST_ROWS = 10_000
+#: Digits of a document's order: md5, tokens, own number.
+KEY_DIGITS = 32 + 16 + 16
 
 
 @dataclass
@@ -94,21 +98,30 @@ def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     return out.withColumn("epoch", epoch).withColumn("rest", F.col("budget") - F.col("epoch") * F.col("tokens")).drop("budget", "tokens")
 
 
+def _shared_digits(low: Column, high: Column) -> Column:
+    """The longest common beginning of two keys."""
+    return F.substring(low, F.lit(1), F.array_max(F.filter(F.sequence(F.lit(0), F.lit(KEY_DIGITS)), lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n))))
+
+
 def mix(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies of every document. docs: doc_id, text, lang, source."""
     none = lambda c: F.coalesce(F.col(c), F.lit("none"))
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), domain_of(none("source")).alias("domain"), none("lang").alias("lang"), none("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "mix")
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), domain_of(none("source")).alias("domain"), none("lang").alias("lang"), none("source").alias("source"), tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("own")), "mix")
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     state = materialize(budgets(leaves, plan).withColumn("edge", F.lit("")), "budgets")
-    key = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.concat(order, *(F.lpad(F.hex(c), 16, "0") for c in (F.col("n_tokens"), F.xxhash64("own"))))
     leaf = list(LEVELS)
     while True:
         # undecided: the documents whose order begins with the digits at which the budget ends
         keyed = attach(rows, state, leaf).withColumn("key", key)
         undecided = keyed.where(F.col("key").startswith(F.col("edge")))
-        most = undecided.groupBy(*leaf).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most <= LAST_ROWS:
+        open_ = materialize(undecided.groupBy(*leaf).agg(F.count("*").alias("n"), _shared_digits(F.min("key"), F.max("key")).alias("shared")), "open")
+        if (open_.agg(F.max("n")).first()[0] or 0) <= LAST_ROWS:
             break
+        state = state.join(open_, leaf, "left").withColumn("edge", F.coalesce("shared", "edge")).drop("n", "shared")
+        keyed = attach(rows, state, leaf).withColumn("key", key)
+        undecided = keyed.where(F.col("key").startswith(F.col("edge")))
         digits = F.substring(F.col("key"), F.length("edge") + 1, F.lit(2))
         sums = undecided.groupBy(*leaf, digits.alias("digits")).agg(F.sum("n_tokens").alias("t"))
         by = Window.partitionBy(*leaf).orderBy("digits")
@@ -116,7 +129,7 @@ def mix(docs: DataFrame, plan: Plan) -> DataFrame:
         # the first digits that don't fit; if all fit, an edge above every order
         ends = attach(sums, state, leaf).where(F.col("upto") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("digits", (F.col("upto") - F.col("t")).alias("used"))).alias("at"))
         state = materialize(state.join(ends, leaf, "left").select(*leaf, "epoch", (F.col("rest") - F.coalesce("at.used", F.lit(0))).alias("rest"), F.when(F.col("at").isNull(), F.lit("~")).otherwise(F.concat("edge", "at.digits")).alias("edge")), "budgets")
-    within = Window.partitionBy(*leaf).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = undecided.withColumn("taken", F.sum("n_tokens").over(within) <= F.col("rest"))
     clear = keyed.where(~F.col("key").startswith(F.col("edge"))).withColumn("taken", F.col("key") < F.col("edge"))
     return last.unionByName(clear).select("doc_id", *leaf, "n_tokens", (F.col("epoch") + F.col("taken").cast("long")).alias("copies"))

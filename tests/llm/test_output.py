@@ -67,6 +67,20 @@ def test_mixing_equals_sql(spark, monkeypatch, last_rows):
     assert op10_mixing.mix(h.frame(spark, []), plan).count() == 0
 
 
+def test_mixing_ends_among_equal_orders(spark, monkeypatch):
+    # the budget ends among documents without an id, and among rows of one repeated id
+    monkeypatch.setattr(op10_mixing, "LAST_ROWS", 2)
+    rows = [(None, h.prose(k, 3 + k % 5), "en", "src1", 0, "x", 1) for k in range(60)] + [(7, h.prose(1, 4), "de", "src1", 0, "x", 1)] * 60
+    plan = op10_mixing.Plan(budget=0.5, seed=3)
+    docs = h.frame(spark, rows)
+    got = sorted(tuple(r) for r in op10_mixing.mix(docs, plan).na.fill(-99, ["doc_id"]).collect())
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text", "lang", "source").toArrow()  # noqa: F841
+    want = sorted(con.sql("select coalesce(doc_id, -99), domain, lang, source, n_tokens, copies from (" + op10_mixing._sql(plan) + ")").fetchall())
+    assert got == want
+    assert {(r[0], r[5]) for r in got} == {(-99, 0), (-99, 1), (7, 0), (7, 1)}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     # a/en can't use its share: a/de takes the rest before domain b does
     leaves = spark.createDataFrame([("a", "en", "s", 10), ("a", "de", "s", 500), ("b", "en", "s", 500)], "domain string, lang string, source string, tokens long")
