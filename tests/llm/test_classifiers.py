@@ -4,7 +4,7 @@ import helpers as h
 import numpy as np
 import pytest
 
-from lattica.llm import op2_quality, op3_rules, op6_toxicity, op8_langid
+from lattica.llm import bytescan, op2_quality, op3_rules, op6_toxicity, op8_langid
 from lattica.llm.docstats import base_counts
 
 
@@ -98,6 +98,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.score < 0.3)
 
 
+def test_toxicity_tells_words_apart_that_share_hash_bits(spark):
+    # two words of one head whose hashes agree in 19 bits, one toxic and one ordinary
+    n = 3_000_000
+    data = np.empty((n, 10), np.uint8)
+    data[:, :4] = np.frombuffer(b"vile", np.uint8)
+    for j in range(6):
+        data[:, 4 + j] = 97 + np.arange(n) // 26**j % 26
+    at = np.arange(n) * 10
+    top = lambda x, starts, ends: bytescan.piece_hash(x, starts, ends) >> np.uint64(45)
+    word = top(np.frombuffer(b"vilezor", np.uint8), np.array([0]), np.array([7]))
+    twin = data[np.flatnonzero(top(data.ravel(), at, at + 10) == word)[0]].tobytes().decode()
+    rng, rows = random.Random(4), []
+    for k in range(200):
+        w = h.prose(1000 + k, 100).split()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), twin if k % 4 else "vilezor")
+        rows.append((k, " ".join(w), "en", "s", 0, "x", 1))
+    docs = h.frame(spark, rows)
+    model = op6_toxicity.fit(docs, labels(spark, [(k, int(k % 4 == 0)) for k in range(160)], "toxic"))
+    got = {r.doc_id: r.score for r in op6_toxicity.score(docs, model).collect()}
+    assert all((got[k] >= 0.3) == (k % 4 == 0) for k in range(160, 200))
+
+
+@pytest.mark.parametrize("held", [0, 7, 300])
+def test_toxicity_does_not_depend_on_what_workers_hold(spark, monkeypatch, held):
+    rows, marks = toxic_corpus(160)
+    docs = h.frame(spark, rows + h.awkward() + [(2000 + k, "Gruntok unheardof " * 3, "en", "s", 0, "x", 1) for k in range(3)])
+    marks = labels(spark, [m for m in marks if m[0] < 130], "toxic")
+    order = lambda model: sorted(((str(r.doc_id), r.score) for r in op6_toxicity.score(docs, model).collect()))
+    whole = op6_toxicity.fit(docs, marks)
+    monkeypatch.setattr(op6_toxicity, "HELD_WORDS", held)
+    joined = op6_toxicity.fit(docs, marks)
+    assert whole.words is None and joined.words is not None
+    got, want = order(joined), order(whole)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=0, atol=1e-9)
+    kept = op6_toxicity.keep_ordinary(docs, joined)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(d for d, s in want if s < 0.3)
+
+
 @pytest.mark.parametrize("marks,want", [([], 0.0), ([(1, 1)], 1.0), ([(1, 0)], 0.0)])
 def test_toxicity_without_both_classes(spark, marks, want):
     docs = h.frame(spark, h.awkward())
