@@ -47,10 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the mix selects."""
+    """Keeps the rows that the mix selects, also such without an id or of a repeated id."""
     drop_scratch(spark)
-    chosen = op10_mixing.mix(docs, MIX).where("copies > 0").select("doc_id")
-    return _columns(docs).join(chosen.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return op10_mixing.mix(docs, MIX, COLUMNS).where("copies > 0").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,10 +103,11 @@ def _shared_digits(low: Column, high: Column) -> Column:
     return F.substring(low, F.lit(1), F.array_max(F.filter(F.sequence(F.lit(0), F.lit(KEY_DIGITS)), lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n))))
 
 
-def mix(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens and copies of every document. docs: doc_id, text, lang, source."""
+def mix(docs: DataFrame, plan: Plan, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens and copies of every document, and the columns to ``carry`` as struct ``row``. docs: doc_id, text, lang, source."""
+    row = [F.struct(*carry).alias("row")] if carry else []
     none = lambda c: F.coalesce(F.col(c), F.lit("none"))
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), domain_of(none("source")).alias("domain"), none("lang").alias("lang"), none("source").alias("source"), tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("own")), "mix")
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), domain_of(none("source")).alias("domain"), none("lang").alias("lang"), none("source").alias("source"), tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("own"), *row), "mix")
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     state = materialize(budgets(leaves, plan).withColumn("edge", F.lit("")), "budgets")
     order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, plan: Plan) -> DataFrame:
     within = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = undecided.withColumn("taken", F.sum("n_tokens").over(within) <= F.col("rest"))
     clear = keyed.where(~F.col("key").startswith(F.col("edge"))).withColumn("taken", F.col("key") < F.col("edge"))
-    return last.unionByName(clear).select("doc_id", *leaf, "n_tokens", (F.col("epoch") + F.col("taken").cast("long")).alias("copies"))
+    return last.unionByName(clear).select("doc_id", *leaf, "n_tokens", (F.col("epoch") + F.col("taken").cast("long")).alias("copies"), *(["row"] if carry else []))
 
 
 PLAN = Plan(weights={"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src0": 2}}, budget=1.5, epochs=3, seed=17)

@@ -54,3 +54,21 @@ def test_stages_take_effect(spark, tmp_path):
     for r in held["repeated_passages"].where("doc_id >= 1100").collect():
         assert passage not in r.text and r.n_chars == len(r.text)
     assert {r.doc_id for r in held["packing"].collect()} == ids["target_weights"] <= ids["repeated_passages"]
+
+
+def test_target_weights_keeps_the_rows_of_the_mix(spark):
+    from collections import Counter
+
+    import corpus_pipeline as c
+    from lattica.llm import op10_mixing
+
+    ids = [None] * 20 + [7] * 20 + list(range(100, 120))
+    rows = [(d, h.prose(4000 + k, 5 + k % 9), "en" if k % 2 else None, f"src{k % 3}", k) for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter((r.doc_id, r.n_tokens) for r in op10_mixing.mix(docs, c.MIX).where("copies > 0").collect())
+    kept = c.target_weights(spark, docs, "")
+    assert kept.columns == list(c.COLUMNS)
+    kept = [tuple(r) for r in kept.collect()]
+    assert set(kept) <= set(rows) and len(set(kept)) == len(kept) < len(rows)
+    assert Counter((r[0], len(h.words(r[1]))) for r in kept) == want
+    assert any(r[0] is None for r in kept)
