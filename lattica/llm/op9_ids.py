@@ -15,8 +15,8 @@ table gives no file and an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .rangecoder import BLOCK, LANES, pack, unpack
+from .bytescan import runs
+from .common import materialize, steps, table
+from .rangecoder import BLOCK, LANES, TOTAL_AT, pack, unpack
 
 END_ID = 1
 FILE_IDS = BLOCK * LANES
 #: Pieces that a worker keeps the ids of.
 _KEPT = 400_000
-_BLANK = re.compile(r"[ \t\n\r]+")
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,7 +43,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Pieces:
-    """ids of a text by the tokenizer file at ``path``."""
+    """ids of texts by the tokenizer file at ``path``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,24 +51,32 @@ class _Pieces:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        parts = [_BLANK.split(t) for t in texts]
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if new:
-            if len(known) > _KEPT:
-                known.clear()
-                new = list({w for p in parts for w in p})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out = []
-        for p in parts:
-            one: list[int] = []
-            for w in p:
-                one += known[w]
-            one.append(END_ID)
-            out.append(one)
-        return out
+    def _of(self, words: list[str]) -> list[list[int]]:
+        """ids of different words."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > _KEPT:
+            self.known.clear()
+            new = words
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = e.ids
+        return [self.known[w] for w in words]
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts, each text's with the end id, and their number by text."""
+        inside = ~_BLANK[data]
+        starts, ends, bounds = runs(inside, offsets)
+        at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data[inside])).dictionary_encode()
+        lists = [*self._of(words.dictionary.to_pylist()), [END_ID]]
+        size = np.array([len(x) for x in lists])
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        first = np.cumsum(size) - size
+        # each text's words and, behind them, the end id as a word
+        which = np.insert(words.indices.to_numpy(), bounds[1:], len(lists) - 1)
+        count = size[which]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(first[which] - ends + count, count) + np.arange(int(count.sum()))]
+        return out, np.diff(np.concatenate(([0], ends[bounds[1:] + np.arange(len(offsets) - 1)])))
 
 
 def write(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -84,13 +94,15 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (raw, pa.binary()))], names=["part", "seq", "before", "file"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                for name, own in zip(rows.column("doc_id").to_pylist(), pieces.ids(rows.column("text").to_pylist()), strict=True):
+            for rows, data, offsets in steps(batch):
+                own, sizes = pieces.ids(data, offsets)
+                at = 0
+                for name, size in zip(rows.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                     names.append(name)
-                    lengths.append(len(own))
-                    ids.append(np.array(own, np.uint32))
-                    held += len(own)
+                    lengths.append(size)
+                    ids.append(own[at : at + size])
+                    at += size
+                    held += size
                     if held >= FILE_IDS:
                         yield flush()
                         before, seq = before + held, seq + 1
@@ -125,7 +137,7 @@ def _placed(files: DataFrame) -> DataFrame:
 
     def size(batches):
         for batch in batches:
-            totals = [int(np.frombuffer(f.as_py(), "<u8", 1, 14)[0]) for f in batch.column("file")]
+            totals = [int(np.frombuffer(f.as_py(), "<u8", 1, TOTAL_AT)[0]) for f in batch.column("file")]
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(totals, pa.int64())], names=["part", "n"])
 
     sums = files.select("part", "file").mapInArrow(size, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()

@@ -1,15 +1,22 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
-An id is coded as hexadecimal digits, most significant first. Each digit has three
-adaptive distributions, chosen by the digits before it in the id alone (order 0), with
-the previous id (order 1) and with the two previous ids (order 2), in hashed tables.
-They are mixed linearly; a block learns the weights by how well each predicted, apart
-for each level of experience of the two higher orders. The mixture drives a 32-bit
-range coder. Every block starts from nothing and is checked by a CRC of its ids, so any
-block can be read alone. Arithmetic on weights is single elementwise float32 operations,
-which IEEE 754 fixes, so encoder and decoder agree on any machine.
-
-A step codes one digit of LANES blocks at once.
+An id is predicted by three orders. Order 2 and order 1 name one candidate each, the id
+that followed the last two ids or the last id, kept in hashed tables with a confidence
+that grows with each hit and halves with each miss. Order 0 gives every id of the file a
+probability: ids are ranked by their counts, ranks fall in classes (eight single ranks,
+then classes half as wide as their first rank), a class has an adaptive probability and
+ids within it are alike. The three predictions are mixed linearly; a block learns the
+weights, apart for each pair of confidences, by how well each order predicted (the
+posterior share of each in the mixture).
+
+The mixture drives a range coder: the interval of an id is the order-2 candidate's share,
+or the order-1 candidate's, or a part of the rest by class and place. Every block starts
+from nothing and is checked by a CRC of its ids and bytes, so any block can be read alone (with the
+file's list of ids). Weights are float32 and divisions float64 of whole numbers below
+2**52, single elementwise operations that IEEE 754 fixes, so encoder and decoder agree on
+any machine.
+
+A step codes one id of LANES blocks at once.
 """
 
 from __future__ import annotations
@@ -20,63 +27,109 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 768
-SLOTS = 1024
-_TOP = 4080
-_RATES = np.array([1, 2, 3, 4, 4, 5], np.int16)[:, None]
-_TARGETS = np.where(np.arange(17)[None, :] > np.arange(16)[:, None], _TOP, 0).astype(np.int16)
-_STEPS = np.arange(17, dtype=np.int32)
+LANES = 2048
+#: Slots of a block's table of an order, and levels of confidence.
+SLOT_BITS = 10
+_SLOTS, _SURE = 1 << SLOT_BITS, 8
+_HASH_SHIFT = np.uint32(32 - SLOT_BITS)
+#: Bits of the mixture and of the classes' probabilities; the least share of each order.
+_MIX, _CLASS, _LEAST = 16, 13, 64
+_SPAN = np.float32((1 << _MIX) - 3 * _LEAST)
+_WIDEST = 4096
+_LOW_BITS = 36
+_FLOOR, _MASK = 1 << _LOW_BITS, (1 << _LOW_BITS) - 1
 _LEARN = np.float32(0.02)
+_KEEP = np.float32(0.98)
+_TINY = np.float32(1e-20)
+
+
+def classes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rank and width of each class of n ranks."""
+    first, at = [], 0
+    while at < n:
+        first.append(at)
+        at += 1 if at < 8 else min(at // 2, _WIDEST)
+    first = np.array(first or [0], np.int64)
+    return first, np.diff(np.append(first, max(n, 1)))
+
+
+class _Model:
+    """The models of n blocks over ranks 0 ... size - 1."""
 
+    def __init__(self, n: int, size: int):
+        self.first, self.width = classes(size)
+        k = len(self.first)
+        top = (1 << _CLASS) - k
+        if top < k:
+            raise ValueError(f"{size} different ids in one file are too many")
+        self.class_of = np.repeat(np.arange(k, dtype=np.int32), self.width)
+        self.place_of = (np.arange(max(size, 1)) - self.first[self.class_of]).astype(np.int32)
+        self.share = (1.0 / (self.width * (1 << _CLASS))).astype(np.float32)
+        self.edges = np.arange(k + 1, dtype=np.int16)
+        self.cum = np.tile((np.arange(k + 1) * top // k).astype(np.int16), (n, 1))
+        self.target = np.where(np.arange(k + 1)[None, :] > np.arange(k)[:, None], top, 0).astype(np.int16)
+        self.k, self.lane = k, np.arange(n)
+        self.base = self.lane * _SLOTS
+        self.row = self.lane * (k + 1)
+        self.wbase = self.lane * (_SURE * _SURE)
+        self.t1, self.t2 = np.zeros(n * _SLOTS, np.uint32), np.zeros(n * _SLOTS, np.uint32)
+        self.w1 = np.full(n * _SURE * _SURE, 0.25, np.float32)
+        self.w2 = np.full(n * _SURE * _SURE, 0.25, np.float32)
+        self.one, self.two = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.step = 0
 
-class _Mixer:
-    """The models of n blocks."""
-
-    def __init__(self, n: int):
-        start = (np.arange(17) * _TOP // 16).astype(np.int16)
-        self.n, self.lane = n, np.arange(n)
-        self.base = self.lane * SLOTS
-        self.q = [np.tile(start, (n * SLOTS, 1)) for _ in range(3)]
-        self.seen = [np.zeros(n * SLOTS, np.uint8) for _ in range(3)]
-        self.w = np.tile(np.array([0.4, 0.3, 0.3], np.float32), (n * 36, 1))
-
-    def predict(self, k: int, position: int, prefix, one, two) -> np.ndarray:
-        """Cumulative counts (of 4096) of the next digit of the first k blocks."""
-        node = (prefix + np.uint32(1)) * np.uint32(0x9E3779B1) + np.uint32(position * 0x3C6EF372 & 0xFFFFFFFF)
-        a = node ^ (one * np.uint32(0x85EBCA6B) + np.uint32(0x165667B1))
-        b = a * np.uint32(0xC2B2AE35) ^ (two * np.uint32(0x27D4EB2F))
-        self.at = [self.base[:k] + ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(22)).astype(np.int64) for x in (node, a, b)]
-        self.g = [np.take(q, at, axis=0) for q, at in zip(self.q, self.at, strict=True)]
-        self.c = [s[at] for s, at in zip(self.seen, self.at, strict=True)]
-        self.wat = self.lane[:k] * 36 + self.c[1] * 6 + self.c[2]
-        self.now = self.w[self.wat]
-        whole = (self.now[:, 1:] * np.float32(256)).astype(np.int32)
-        mixed = self.g[1] * whole[:, :1] + self.g[2] * whole[:, 1:]
-        mixed += self.g[0] * (256 - whole.sum(1, keepdims=True, dtype=np.int32))
-        mixed >>= 8
-        mixed += _STEPS
-        mixed[:, 16] = 4096
-        return mixed
-
-    def learn(self, k: int, digit) -> None:
-        lane = self.lane[:k]
-        p = np.empty((k, 3), np.float32)
-        target = _TARGETS[digit]
-        for i in range(3):
-            g, c = self.g[i], self.c[i]
-            p[:, i] = g[lane, digit + 1] - g[lane, digit] + 1
-            g += (target - g) >> _RATES[c]
-            self.q[i][self.at[i]] = g
-            self.seen[i][self.at[i]] = np.minimum(c + 1, 5)
-        w = self.now
-        p *= w
-        total = p[:, 0] + p[:, 1]
-        total += p[:, 2]
-        p /= total[:, None]
-        p -= w
-        p *= _LEARN
-        w += p
-        self.w[self.wat] = w
+    def predict(self, k: int):
+        """Candidates of the first k blocks, and the ends of their shares of 2**_MIX."""
+        h = self.one[:k] * np.uint32(0x9E3779B1)
+        self.i1 = self.base[:k] + (h >> _HASH_SHIFT)
+        h ^= self.two[:k] * np.uint32(0x85EBCA6B)
+        h *= np.uint32(0xC2B2AE35)
+        self.i2 = self.base[:k] + (h >> _HASH_SHIFT)
+        self.e1, self.e2 = np.take(self.t1, self.i1), np.take(self.t2, self.i2)
+        self.n1, self.n2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
+        self.c1, self.c2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
+        self.at = self.wbase[:k] + (self.n2 * np.uint32(_SURE) + self.n1)
+        self.v1, self.v2 = np.take(self.w1, self.at), np.take(self.w2, self.at)
+        a = (self.v2 * _SPAN).astype(np.int64)
+        a += _LEAST
+        b = (self.v1 * _SPAN).astype(np.int64)
+        b += _LEAST
+        b += a
+        return a, b
+
+    def learn(self, k: int, rank: np.ndarray) -> None:
+        """rank: what came, as uint32."""
+        hit1, hit2 = self.c1 == rank, self.c2 == rank
+        cls = np.take(self.class_of, rank)
+        flat = self.cum.ravel()
+        at = self.row[:k] + cls
+        p0 = (np.take(flat, at + 1) - np.take(flat, at) + np.int16(1)) * np.take(self.share, cls)
+        q0 = np.float32(1) - self.v1
+        q0 -= self.v2
+        q0 *= p0
+        q1, q2 = self.v1 * hit1, self.v2 * hit2
+        q0 += q1
+        q0 += q2
+        q0 += _TINY
+        scale = _LEARN / q0
+        q1 *= scale
+        q1 += self.v1 * _KEEP
+        q2 *= scale
+        q2 += self.v2 * _KEEP
+        self.w1[self.at] = q1
+        self.w2[self.at] = q2
+        fresh = (rank << np.uint32(3)) | np.uint32(1)
+        for t, i, e, n, hit in ((self.t1, self.i1, self.e1, self.n1, hit1), (self.t2, self.i2, self.e2, self.n2, hit2)):
+            less = np.where(n < 2, fresh, e - (n + np.uint32(1) >> np.uint32(1)))
+            t[i] = np.where(hit, e + (n < _SURE - 1), less)
+        move = np.take(self.target, cls, axis=0)
+        own = self.cum[:k]
+        move -= own
+        move >>= min(self.step // 2 + 1, 5)
+        own += move
+        self.step += 1
+        self.two[:k] = self.one[:k]
+        self.one[:k] = rank
 
 
 def _lanes(lengths: np.ndarray):
@@ -85,136 +138,205 @@ def _lanes(lengths: np.ndarray):
     return np.searchsorted(-lengths, -at, side="left").tolist()
 
 
-def _encode(ids: np.ndarray, lengths: np.ndarray, digits: int) -> list[bytes]:
-    """ids: blocks as rows (padded), lengths not ascending."""
-    n, longest = ids.shape
-    mixer = _Mixer(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << 32, np.uint64)
-    words = np.zeros((n, longest * digits + 4), np.uint32)
-    pos = np.zeros(n, np.int64)
-    one, two = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+def _encode(ranks: np.ndarray, lengths: np.ndarray, size: int) -> list[bytes]:
+    """ranks: blocks as columns (padded), lengths not ascending."""
+    longest, n = ranks.shape
+    model = _Model(n, size)
+    low, span = np.zeros(n, np.int64), np.full(n, 1 << 52, np.int64)
+    most = longest * 4 + 8
+    words = np.zeros(n * most, np.uint32)
+    pos = np.arange(n) * most
+    begin = pos.copy()
     for t, k in enumerate(_lanes(lengths)):
-        value = ids[:k, t].astype(np.uint32)
-        lane = mixer.lane[:k]
-        for d in range(digits):
-            shift = np.uint32(4 * (digits - 1 - d))
-            digit = ((value >> shift) & np.uint32(15)).astype(np.int64)
-            mixed = mixer.predict(k, d, value >> (shift + np.uint32(4)) if d else np.zeros(k, np.uint32), one[:k], two[:k])
-            start = mixed[lane, digit]
-            size = mixed[lane, digit + 1] - start
-            r = span[:k] >> np.uint64(12)
-            low[:k] += r * start.astype(np.uint64)
-            r *= size.astype(np.uint64)
-            span[:k] = r
-            out = np.flatnonzero(r < 65536)
-            if len(out):
-                words[out, pos[out]] = low[out] >> np.uint64(16)
-                pos[out] += 1
-                low[out] = (low[out] & np.uint64(0xFFFF)) << np.uint64(16)
-                span[out] <<= np.uint64(16)
-            mixer.learn(k, digit)
-        two[:k] = one[:k]
-        one[:k] = value
-    for _ in range(2):
-        words[mixer.lane, pos] = low >> np.uint64(16)
-        low = (low & np.uint64(0xFFFF)) << np.uint64(16)
+        rank = ranks[t, :k]
+        a, b = model.predict(k)
+        hit2 = model.c2 == rank
+        hit1 = model.c1 == rank
+        lo, hi = np.where(hit1, a, b), np.where(hit1, b, 1 << _MIX)
+        hi = np.where(hit2, a, hi)
+        lo[hit2] = 0
+        r = span[:k] >> _MIX
+        low[:k] += r * lo
+        hi -= lo
+        r *= hi
+        span[:k] = r
+        miss = np.flatnonzero(~(hit1 | hit2))
+        if len(miss):
+            what = rank[miss]
+            cls = model.class_of[what]
+            at = model.row[miss] + cls
+            flat = model.cum.ravel()
+            start = np.take(flat, at).astype(np.int64)
+            width = np.take(flat, at + 1) - start + 1
+            start += cls
+            r = r[miss] >> _CLASS
+            start *= r
+            r *= width
+            r = (r / model.width[cls]).astype(np.int64)
+            start += r * model.place_of[what]
+            low[miss] += start
+            span[miss] = r
+        while True:
+            need = span[:k] < _FLOOR
+            if not need.any():
+                break
+            own = low[:k]
+            words[pos[:k]] = own >> _LOW_BITS
+            pos[:k] += need
+            low[:k] = np.where(need, (own & _MASK) << 16, own)
+            span[:k] <<= np.where(need, 16, 0)
+        model.learn(k, rank)
+    for _ in range(4):
+        words[pos] = low >> _LOW_BITS
+        low = (low & _MASK) << 16
         pos += 1
+    words = words.reshape(n, most)
+    pos -= begin
     for c in range(int(pos.max()) - 1, 0, -1):  # carries
         words[:, c - 1] += words[:, c] >> 16
     flat = (words & 0xFFFF).astype(">u2")
     return [flat[i, : pos[i]].tobytes() for i in range(n)]
 
 
-def _decode(blobs: list[bytes], lengths: np.ndarray, digits: int) -> np.ndarray:
+def _decode(blobs: list[bytes], lengths: np.ndarray, size: int) -> np.ndarray:
+    """Ranks, blocks as columns."""
     n, longest = len(blobs), int(lengths[0])
-    mixer = _Mixer(n)
-    words = np.zeros((n, max(map(len, blobs)) // 2 + 4), np.uint64)
+    model = _Model(n, size)
+    most = max(map(len, blobs)) // 2 + 8
+    words = np.zeros((n, most), np.int64)
     for i, raw in enumerate(blobs):
         words[i, : len(raw) // 2] = np.frombuffer(raw, ">u2")
-    code, span = (words[:, 0] << np.uint64(16)) | words[:, 1], np.full(n, 1 << 32, np.uint64)
-    pos = np.full(n, 2)
-    most = words.shape[1] - 1
-    one, two = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    ids = np.zeros((n, longest), np.uint32)
+    # the code holds 52 bits: three words and 4 bits; the words that follow are moved by these 4 bits
+    code = (words[:, 0] << 36) | (words[:, 1] << 20) | (words[:, 2] << 4) | (words[:, 3] >> 12)
+    words[:, :-1] = (words[:, :-1] << 4 & 0xFFFF) | (words[:, 1:] >> 12)
+    words = words.ravel()
+    span, pos = np.full(n, 1 << 52, np.int64), np.arange(n) * most + 3
+    ranks = np.zeros((longest, n), np.uint32)
+    last = len(words) - 1
     for t, k in enumerate(_lanes(lengths)):
-        value = np.zeros(k, np.uint32)
-        lane = mixer.lane[:k]
-        for d in range(digits):
-            mixed = mixer.predict(k, d, value, one[:k], two[:k])
-            r = span[:k] >> np.uint64(12)
-            spot = np.minimum(code[:k] // r, np.uint64(4095)).astype(np.int32)
-            digit = (mixed[:, 1:16] <= spot[:, None]).sum(1)
-            start = mixed[lane, digit]
-            size = mixed[lane, digit + 1] - start
-            code[:k] -= r * start.astype(np.uint64)
-            r *= size.astype(np.uint64)
-            span[:k] = r
-            out = np.flatnonzero(r < 65536)
-            if len(out):
-                code[out] = (code[out] << np.uint64(16)) | words[out, np.minimum(pos[out], most)]
-                pos[out] += 1
-                span[out] <<= np.uint64(16)
-            mixer.learn(k, digit)
-            value = (value << np.uint32(4)) | digit.astype(np.uint32)
-        ids[:k, t] = value
-        two[:k] = one[:k]
-        one[:k] = value
-    return ids
+        a, b = model.predict(k)
+        r = span[:k] >> _MIX
+        hit2 = code[:k] < r * a
+        hit1 = code[:k] < r * b
+        lo, hi = np.where(hit1, a, b), np.where(hit1, b, 1 << _MIX)
+        hi = np.where(hit2, a, hi)
+        lo[hit2] = 0
+        code[:k] -= r * lo
+        hi -= lo
+        r *= hi
+        span[:k] = r
+        rank = np.where(hit2, model.c2, model.c1)
+        miss = np.flatnonzero(~hit1)
+        if len(miss):
+            r = r[miss] >> _CLASS
+            left = code[miss]
+            spot = np.minimum((left / r).astype(np.int64), (1 << _CLASS) - 1)
+            rows = model.cum[miss]
+            rows += model.edges
+            cls = (rows[:, 1 : model.k] <= spot.astype(np.int16)[:, None]).sum(1)
+            at = np.arange(len(miss)) * (model.k + 1) + cls
+            flat = rows.ravel()
+            start = np.take(flat, at).astype(np.int64)
+            width = np.take(flat, at + 1) - start
+            left -= start * r
+            r *= width
+            wide = model.width[cls]
+            r = (r / wide).astype(np.int64)
+            place = np.minimum((left / np.maximum(r, 1)).astype(np.int64), wide - 1)
+            left -= place * r
+            code[miss] = left
+            span[miss] = r
+            rank[miss] = model.first[cls] + place
+        while True:
+            need = span[:k] < _FLOOR
+            if not need.any():
+                break
+            own = code[:k]
+            code[:k] = np.where(need, (own << 16) | words[np.minimum(pos[:k], last)], own)
+            pos[:k] += need
+            span[:k] <<= np.where(need, 16, 0)
+            if (span[:k] == 0).any():
+                raise ValueError("the data are damaged")
+        ranks[t, :k] = rank
+        model.learn(k, rank)
+    return ranks
 
 
 # -- the file format -----------------------------------------------------------------------
-# magic, digits, ids of a block, documents, ids, blocks; doc_id and null flag and length of each
-# document; bytes and CRC of each block; CRC of all this; the blocks.
+# magic, ids of a block, documents, ids, blocks, different ids, bytes of their list; doc_id and
+# null flag and length of each document; bytes and CRC of each block; the different ids, most
+# frequent first (deflated); CRC of all this; the blocks.
 
-MAGIC = b"IDRC\x01"
-_HEAD = struct.Struct("<5sBIIQI")
+MAGIC = b"IDRC\x02"
+_HEAD = struct.Struct("<5sIIQIII")
+#: Where the number of ids stands in a file.
+TOTAL_AT = 13
 
 
-def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, digits: int = 4, block: int = BLOCK) -> bytes:
+def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A file of whole documents: ``ids`` of all of them end to end."""
-    if len(ids) and int(ids.max()) >> (4 * digits):
-        raise ValueError(f"an id needs more than {digits} digits")
     n = -(-len(ids) // block)
     sizes = np.full(n, block, np.int64)
     if n:
         sizes[-1] = len(ids) - (n - 1) * block
+    seen, counts = _counted(ids)
+    order = np.argsort(-counts, kind="stable")
+    names = seen[order].astype("<u4")
+    rank_of = np.empty(len(seen), np.uint32)
+    rank_of[order] = np.arange(len(seen), dtype=np.uint32)
     blobs = []
     for i in range(0, n, LANES):
         own = sizes[i : i + LANES]
-        rows = np.zeros((len(own), int(own[0])), np.uint32)
         part = ids[i * block : (i + LANES) * block]
-        rows.ravel()[: len(part)] = part
-        blobs += _encode(rows, own, digits)
-    crcs = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(n)]
-    head = _HEAD.pack(MAGIC, digits, block, len(doc_ids), len(ids), n)
+        rows = np.zeros((len(own), int(own[0])), np.uint32)
+        rows.ravel()[: len(part)] = rank_of[np.searchsorted(seen, part)]
+        blobs += _encode(np.ascontiguousarray(rows.T), own, len(seen))
+    crcs = [zlib.crc32(blob, zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes())) for i, blob in enumerate(blobs)]
+    listed = zlib.compress(names.tobytes(), 1)
+    head = _HEAD.pack(MAGIC, block, len(doc_ids), len(ids), n, len(seen), len(listed))
     head += np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + np.array(lengths, "<u8").tobytes()
-    head += np.array([len(x) for x in blobs], "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
+    head += np.array([len(x) for x in blobs], "<u4").tobytes() + np.array(crcs, "<u4").tobytes() + listed
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blobs)
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and how often each occurs."""
+    top = int(ids.max()) if len(ids) else 0
+    if top > 1 << 22:
+        return np.unique(ids, return_counts=True)
+    counts = np.bincount(ids, minlength=top + 1)
+    seen = np.flatnonzero(counts)
+    return seen, counts[seen]
+
+
 def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file; a wrong checksum raises."""
-    magic, digits, block, docs, total, n = _HEAD.unpack_from(raw)
+    magic, block, docs, total, n, distinct, listed = _HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a file of this format")
     at = _HEAD.size
     cols = []
-    for kind, count in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u4", n), ("<u4", n)):
+    for kind, count in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u4", n), ("<u4", n), ("u1", listed)):
         cols.append(np.frombuffer(raw, kind, count, at))
         at += cols[-1].nbytes
     if struct.unpack_from("<I", raw, at)[0] != zlib.crc32(raw[:at]):
         raise ValueError("the header's checksum is wrong")
     at += 4
-    doc_ids, nulls, lengths, bytes_, crcs = cols
+    doc_ids, nulls, lengths, bytes_, crcs, names = cols
+    names = np.frombuffer(zlib.decompress(names.tobytes()), "<u4", distinct)
     ids = np.zeros(total, np.uint32)
     ends = at + np.concatenate(([0], np.cumsum(bytes_, dtype=np.int64)))
     for i in range(0, n, LANES):
         m = min(LANES, n - i)
         own = np.minimum(block, total - block * np.arange(i, i + m)).astype(np.int64)
-        rows = _decode([raw[ends[j] : ends[j + 1]] for j in range(i, i + m)], own, digits)
+        blobs = [raw[ends[j] : ends[j + 1]] for j in range(i, i + m)]
+        ranks = _decode(blobs, own, distinct)
+        if ranks.max(initial=0) >= distinct:
+            raise ValueError("the data are damaged")
+        rows = names[ranks.T]
         for j in range(m):
             piece = rows[j, : own[j]]
-            if zlib.crc32(piece.astype("<u4").tobytes()) != crcs[i + j]:
+            if zlib.crc32(blobs[j], zlib.crc32(piece.astype("<u4").tobytes())) != crcs[i + j]:
                 raise ValueError(f"the checksum of block {i + j} is wrong")
             ids[(i + j) * block : (i + j) * block + own[j]] = piece
     return [None if x else int(d) for d, x in zip(doc_ids, nulls, strict=True)], lengths.astype(np.int64), ids
