@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from . import sinks, validate
 from .operators import algorithms, stats
 from .operators.build import Graph, build_graph, check
-from .operators.partition import STRATEGIES, num_vertices, partition
+from .operators.partition import STRATEGIES, laid_out
 from .sources import Request, read_edge_list, read_graph, read_results
 
 
@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("output")
     p.add_argument("--strategy", choices=sorted(STRATEGIES), default="checkerboard")
     p.add_argument("--parts", type=int, required=True)
+    p.add_argument("--balance-ratio", type=float, help="checkerboard only")
     v = sub.add_parser("verify")
     v.add_argument("result")
     v.add_argument("expected")
@@ -73,10 +74,9 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(execute(spark, Request.from_json(args.request)).rounds))
     elif args.command == "partition":
         graph: Graph = read_graph(spark, args.graph)
-        n = num_vertices(graph.edges)
-        blocks = partition(graph.edges, args.strategy, args.parts, n=n)
-        if args.strategy != "hash":
-            sinks.write_partitioned(graph.edges, blocks, args.output, n)
+        options = {} if args.balance_ratio is None else {"ratio": args.balance_ratio}
+        blocks, edges, n = laid_out(graph.edges, args.strategy, args.parts, **options)
+        sinks.write_partitioned(edges, blocks, args.output, n)
         print(json.dumps(stats.work_report(blocks).first().asDict()))
     else:
         a, z = read_results(spark, args.result, args.kind), read_results(spark, args.expected, args.kind)

@@ -1,11 +1,13 @@
 """The round loop: frontier joins edges, messages combine, state takes them, until nobody is active.
 
 A round is one written table. Edges are dealt by source once and kept (on disk if
-memory is short), so that a round only moves the frontier - by broadcast while Spark
-finds it small, else by one exchange - and the combined messages, which are
-pre-aggregated before they move. State is dealt by vertex and written with the
-active flag; the counts that steer the loop are observed by the tasks that write it, so
-a round is one job.
+memory is short); state is written in buckets by vertex, as many as edges have
+partitions. So senders meet their edges, and vertices their messages, where they lie: the
+one exchange of a round is that of the combined messages, pre-aggregated before they
+move. Vertices with more out-edges than a partition should have (fewer of them than
+partitions) are hubs: their edges are dealt evenly and get the hubs' values by
+broadcast. The counts that steer the loop are observed by the tasks that write
+the state, so a round is one job.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .functions.segments import segment_bytes
 from .operators.build import Graph
 from .program import VertexProgram
 from .schema import ROUNDS, UNREACHED
-from .storage import exists, new_path, partitions, remove, save
+from .storage import exists, new_path, partitions, remove, save_dealt
+
+#: A vertex with fewer out-edges is never a hub.
+HUB_EDGES = 1_000_000
 
 
 @dataclass
@@ -37,30 +43,43 @@ class Run:
         return self.state.select("v", val.alias("val"))
 
     def metrics(self) -> DataFrame:
-        return self.state.sparkSession.createDataFrame(self.rounds, ROUNDS)
+        """One row a round; message_bytes by the cost model, the combined messages as one segment of all vertices."""
+        log = self.state.sparkSession.createDataFrame(self.rounds, ROUNDS)
+        return log.withColumn("message_bytes", segment_bytes(F.col("messages"), F.col("vertices")))
 
 
-def superstep(state: DataFrame, edges: DataFrame, program: VertexProgram, mode: str, round_: int = 1, last: bool = False) -> DataFrame:
+def superstep(state: DataFrame, edges: DataFrame, program: VertexProgram, mode: str, round_: int = 1, last: bool = False, hubs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One round: state (v, val, active, deg) to the next state.
 
     push sends from active vertices only; pull looks at all sources and masks the
-    messages of those that aren't active. The results are equal.
+    messages of those that aren't active. The results are equal. hubs: their ids
+    (src, bounded by the number of partitions) and their edges, which ``edges`` then lacks.
     """
+    return _next(state, edges, program, mode, round_, last, hubs).drop("msg")
+
+
+def _next(state, edges, program, mode, round_, last, hubs=None) -> DataFrame:
+    def sent(edges: DataFrame, senders: DataFrame) -> DataFrame:
+        if "w" not in edges.columns:
+            edges = edges.withColumn("w", F.lit(None).cast("long"))
+        return edges.join(senders, "src").select(F.col("dst").alias("v"), message.alias("msg"))
+
     if mode == "push":
         senders = state.where("active").select(F.col("v").alias("src"), "val")
         message = program.message(F.col("val"), F.col("w"))
     else:
         senders = state.select(F.col("v").alias("src"), "val", "active")
         message = F.when(F.col("active"), program.message(F.col("val"), F.col("w")))
-    if "w" not in edges.columns:
-        edges = edges.withColumn("w", F.lit(None).cast("long"))
-    combined = edges.join(senders, "src").groupBy(F.col("dst").alias("v")).agg(program.combined(message).alias("msg"))
+    messages = sent(edges, senders)
+    if hubs is not None:
+        messages = messages.unionByName(sent(hubs[1], F.broadcast(senders.join(F.broadcast(hubs[0]), "src"))))
+    combined = messages.groupBy("v").agg(program.combined(F.col("msg")).alias("msg"))
     joined = state.join(combined, "v", "left")
     old, msg = F.col("val"), F.col("msg")
     new = program.apply(old, msg, F.col("deg"), round_, last)
     if not program.everywhere:
         new = F.when(msg.isNotNull(), new).otherwise(old)
-    return joined.withColumn("new", new).select("v", F.col("new").alias("val"), program.activate(old, F.col("new")).alias("active"), "deg")
+    return joined.withColumn("new", new).select("v", F.col("new").alias("val"), program.activate(old, F.col("new")).alias("active"), "deg", "msg")
 
 
 def initial(graph: Graph, program: VertexProgram) -> DataFrame:
@@ -74,25 +93,24 @@ def run(graph: Graph, program: VertexProgram, direction: str = "auto", max_round
     keep = path is not None
     where = path or new_path(spark, program.name)
     limit = program.rounds if program.rounds is not None else max_rounds
-    edges = graph.edges.repartition(partitions(spark), "src").persist(StorageLevel.MEMORY_AND_DISK)
+    done, log = _resumed(spark, where) if resume else (0, [])
+    if done or (resume and exists(spark, f"{where}/round=0/_SUCCESS")):
+        state = spark.read.parquet(f"{where}/round={done}")
+        seen = state.agg(*_counts(F.lit(None))).first().asDict()
+    else:
+        start = initial(graph, program).withColumn("msg", F.lit(None).cast("long"))
+        state, seen = _observed(start.repartition(partitions(spark), "v"), f"{where}/round=0")
+    edges, hubs = _dealt(graph.edges, state, seen)
+    total = seen["all"] or 0
     try:
-        done, log = _resumed(spark, where) if resume else (0, [])
-        if done or (resume and exists(spark, f"{where}/round=0/_SUCCESS")):
-            state = spark.read.parquet(f"{where}/round={done}")
-            active = state.where("active").agg(*_active()).first().asDict()
-        else:
-            state, active = _observed(initial(graph, program).repartition(partitions(spark), "v"), f"{where}/round=0")
-        total = None
-        while (limit is None or done < limit) and (program.rounds is not None or active["n"]):
+        while (limit is None or done < limit) and (program.rounds is not None or seen["n"]):
             began = time.time()
-            if direction == "auto" and total is None:
-                total = graph.vertices.agg(F.sum("out_degree")).first()[0] or 0
-            mode = direction if direction != "auto" else "push" if active["e"] < total // 20 else "pull"
+            mode = direction if direction != "auto" else "push" if seen["e"] < total // 20 else "pull"
             last = limit is not None and done + 1 == limit
-            before = active
-            state, active = _observed(superstep(state, edges, program, mode, done + 1, last), f"{where}/round={done + 1}")
+            before = seen
+            state, seen = _observed(_next(state, edges, program, mode, done + 1, last, hubs), f"{where}/round={done + 1}")
             done += 1
-            log.append((done, before["n"], before["e"], active["n"], mode, time.time() - began))
+            log.append((done, before["n"], before["e"], seen["n"], mode, time.time() - began, seen["m"], seen["v"]))
             if keep:
                 spark.createDataFrame([(json.dumps(log),)], "log string").coalesce(1).write.mode("overwrite").text(f"{where}/log={done}")
             if done > 1 and not keep:
@@ -100,16 +118,32 @@ def run(graph: Graph, program: VertexProgram, direction: str = "auto", max_round
         return Run(state, log)
     finally:
         edges.unpersist()
+        if hubs is not None:
+            hubs[1].unpersist()
+
+
+def _dealt(edges: DataFrame, state: DataFrame, seen: dict) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Edges dealt by source and kept; of vertices with more out-edges than a partition's share apart, dealt evenly."""
+    n = partitions(edges.sparkSession)
+    share = max((seen["all"] or 0) // n, HUB_EDGES)
+    hubs = None
+    if (seen["top"] or 0) > share:
+        # fewer than n vertices have more than an n-th of all edges
+        ids = edges.sparkSession.createDataFrame(state.where(F.col("deg") > share).select(F.col("v").alias("src")).collect(), "src long")
+        own = edges.join(F.broadcast(ids), "src").repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+        hubs, edges = (ids, own), edges.join(F.broadcast(ids), "src", "left_anti")
+    return edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK), hubs
 
 
-def _active() -> tuple:
-    return F.count_if(F.col("active")).alias("n"), F.coalesce(F.sum(F.when(F.col("active"), F.col("deg"))), F.lit(0)).alias("e")
+def _counts(msg) -> tuple:
+    """Active vertices and their out-edges, messages, vertices, all out-edges, most of a vertex."""
+    return F.count_if(F.col("active")).alias("n"), F.coalesce(F.sum(F.when(F.col("active"), F.col("deg"))), F.lit(0)).alias("e"), F.count(msg).alias("m"), F.count("*").alias("v"), F.sum("deg").alias("all"), F.max("deg").alias("top")
 
 
 def _observed(state: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
-    """Writes a state and counts its active vertices (n) and their out-edges (e) on the way."""
+    """Writes a state and counts what _counts names on the way."""
     seen = Observation()
-    out = save(state.observe(seen, *_active()), path)
+    out = save_dealt(state.observe(seen, *_counts(F.col("msg"))).drop("msg"), path, "v")
     return out, seen.get
 
 

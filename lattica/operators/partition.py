@@ -39,29 +39,45 @@ def num_vertices(edges: DataFrame, given: int | None = None) -> int:
     return 0 if top is None else top + 1
 
 
+def _counted(df: DataFrame, *keys: Column) -> list[np.ndarray]:
+    """Rows by keys, as one array for each key and one of the counts; they come to the driver as Arrow columns."""
+    got = df.groupBy(*[k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n")).toArrow()
+    return [got.column(i).to_numpy() for i in range(got.num_columns)]
+
+
+def _chunk(column: str, align: int) -> Column:
+    return F.floor(F.col(column) / align)
+
+
 def _histogram(edges: DataFrame, column: str, n: int, align: int) -> np.ndarray:
-    chunks = -(-n // align)
-    out = np.zeros(chunks, np.int64)
-    for r in edges.groupBy(F.floor(F.col(column) / align).alias("c")).agg(F.count("*").alias("n")).collect():
-        out[r.c] = r.n
+    out = np.zeros(-(-n // align), np.int64)
+    at, counts = _counted(edges, _chunk(column, align))
+    out[at] = counts
     return out
 
 
 def sweep(weights: np.ndarray, parts: int, total: int, n: int, align: int = ALIGN) -> Cuts:
     """Greedy cuts: before a chunk, cut if what has gathered is at least total / parts. Includes 0 and n."""
-    cuts, gathered = [0], 0
-    for c, w in enumerate(weights.tolist()):
-        if gathered * parts >= total and c:
-            cuts.append(c * align)
-            gathered = 0
-        gathered += w
-    return [*cuts, n]
+    upto = np.concatenate(([0], np.cumsum(weights)))
+    share, cuts = -(-total // parts), [0]
+    while True:
+        last = cuts[-1] // align
+        c = max(int(np.searchsorted(upto, upto[last] + share)), last + 1)
+        if c >= len(weights):
+            return [*cuts, n]
+        cuts.append(c * align)
 
 
 def segment(v: Column, cuts: Cuts) -> Column:
-    """Index of the range of ``cuts`` that holds v."""
-    inner = F.array(*[F.lit(c) for c in cuts[1:-1]]).cast("array<long>")
-    return F.size(F.filter(inner, lambda c: c <= v))
+    """Index of the range of ``cuts`` that holds v: a tree of comparisons, so that it may be a join key."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        return F.when(v >= cuts[mid], search(mid, high)).otherwise(search(low, mid - 1))
+
+    return search(0, max(len(cuts) - 2, 0))
 
 
 def grid_counts(edges: DataFrame, source_cuts: Cuts, dest_cuts: Cuts) -> DataFrame:
@@ -102,11 +118,11 @@ def _mondriaan(edges: DataFrame, parts: int, n: int | None, align: int, first: s
     h = _histogram(edges, first, n, align)
     cuts = sweep(h, outer, int(h.sum()), n, align)
     spans = list(zip(cuts, cuts[1:], strict=False))
-    cells = np.zeros((len(spans), -(-n // align)), np.int64)
-    for x in edges.groupBy(segment(F.col(first), cuts).alias("s"), F.floor(F.col(second) / align).alias("c")).agg(F.count("*").alias("n")).collect():
-        cells[x.s, x.c] = x.n
+    strip, chunk, counts = _counted(edges, segment(F.col(first), cuts), _chunk(second, align))
     rows = []
-    for (a, z), own in zip(spans, cells, strict=True):
+    for i, (a, z) in enumerate(spans):
+        own = np.zeros(-(-n // align), np.int64)
+        own[chunk[strip == i]] = counts[strip == i]
         sub = sweep(own, inner, int(own.sum()), n, align)
         for x, y in zip(sub, sub[1:], strict=False):
             e = int(own[x // align : -(-y // align)].sum())
@@ -175,20 +191,20 @@ def stagger(edges: DataFrame, parts: int, n: int | None = None, align: int = ALI
     return _placed(edges, parts, n, align, stagger_owner)
 
 
-def hash_rows(edges: DataFrame, parts: int, n: int | None = None, align: int = ALIGN) -> DataFrame:
-    """Row strips of at least ceil(n / parts) vertices in the order (v % parts, v); ranges are in that order's ids."""
+def hash_moved(edges: DataFrame, parts: int, n: int) -> DataFrame:
+    """Edges in the ids of the order (v % parts, v)."""
     from .build import hash_order
 
+    return edges.withColumns({c: hash_order(F.col(c), n, parts) for c in ("src", "dst")})
+
+
+def hash_rows(edges: DataFrame, parts: int, n: int | None = None, align: int = ALIGN) -> DataFrame:
+    """Row strips of at least ceil(n / parts) vertices in the order (v % parts, v); ranges are in that order's ids."""
     n = num_vertices(edges, n)
     target = -(-n // parts)
-    cuts, gathered = [0], 0
-    for start in range(0, n, align):
-        if gathered >= target:
-            cuts.append(start)
-            gathered = 0
-        gathered += min(align, n - start)
-    moved = edges.select(hash_order(F.col("src"), n, parts).alias("src"), hash_order(F.col("dst"), n, parts).alias("dst"))
-    return _frame(edges.sparkSession, _strips(moved, [*cuts, n], n, True))
+    step = max(-(-target // align), 1) * align  # the whole chunks that hold the target
+    cuts = [*range(0, max(n, 1), step), n]
+    return _frame(edges.sparkSession, _strips(hash_moved(edges, parts, n), cuts, n, True))
 
 
 # -- search for a balanced symmetric grid --------------------------------------------------
@@ -227,8 +243,8 @@ def balanced_cuts(edges: DataFrame, n: int, most: int, align: int = ALIGN) -> tu
         align *= 2
     k = -(-n // align)
     matrix = np.zeros((k + 1, k + 1), np.int64)
-    for r in edges.groupBy(F.floor(F.col("src") / align).alias("i"), F.floor(F.col("dst") / align).alias("j")).agg(F.count("*").alias("n")).collect():
-        matrix[r.i + 1, r.j + 1] = r.n
+    i, j, counts = _counted(edges, _chunk("src", align), _chunk("dst", align))
+    matrix[i + 1, j + 1] = counts
     cells = matrix.cumsum(0).cumsum(1)
     size = np.minimum(np.arange(k + 1) * align, n)
     low, high = 0, int(cells[-1, -1]) + 2 * VERTEX_WEIGHT * n
@@ -309,12 +325,15 @@ def gain(marks: dict[str, list[tuple[int, int]]], a: int, b: int) -> int:
 def bin_pack(edges: DataFrame, blocks: DataFrame, parts: int, ratio: float) -> DataFrame:
     """Unites blocks to ``parts`` owners: always the two sets of largest gain whose workload stays within the limit.
 
-    The limit is total workload / parts * ratio; ties go to the lowest (i, j). Raises if no two sets fit any more.
+    The limit is total workload / parts * ratio; ties go to the lowest (i, j). Raises if a block alone
+    is above it, or if no two sets fit any more.
     """
     b = blocks.orderBy("from_source", "from_dest").collect()
     load = [r.edges + VERTEX_WEIGHT * (r.to_source - r.from_source + r.to_dest - r.from_dest) for r in b]
     marks = signatures(edges, _frame(edges.sparkSession, [(i, *r[1:]) for i, r in enumerate(b)]))
     limit = sum(load) / parts * ratio
+    if load and max(load) > limit:
+        raise ValueError(f"a block alone is above {ratio} times the mean workload of {parts} sets")
     sets = [(1 << i, w) for i, w in enumerate(load)]
     gains = {(i, j): gain(marks, sets[i][0], sets[j][0]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     alive = list(range(len(sets)))
@@ -398,6 +417,25 @@ def edge_cut(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(z, "dst").agg(F.coalesce(F.sum((F.col("p") != F.col("q")).cast("long")), F.lit(0)).alias("cut"), F.count("*").alias("edges"))
 
 
+def lp_parts(edges: DataFrame, parts: int, n: int | None = None, align: int = ALIGN, **options) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks, edges and number of ids after vertices are ordered by the part that label propagation gives them.
+
+    A part's ids begin at a multiple of ``align``; its block is the strip of its sources by all destinations.
+    """
+    from .build import part_order
+
+    order = materialize(part_order(label_propagation(edges, parts, n, **options), align), "lp")
+    spans = {r.part: (r.a, r.z) for r in order.groupBy("part").agg(F.min("new_id").alias("a"), (F.max("new_id") + 1).alias("z")).collect()}
+    total = max((z for _, z in spans.values()), default=0)
+    moved = edges
+    for c in ("src", "dst"):
+        moved = moved.join(order.select(F.col("v").alias(c), F.col("new_id").alias("_new")), c).drop(c).withColumnRenamed("_new", c)
+    moved = materialize(moved.select(*edges.columns), "lp")
+    counts = {r.s: r.n for r in moved.groupBy(segment(F.col("src"), [*(spans[p][0] for p in sorted(spans)), total]).alias("s")).agg(F.count("*").alias("n")).collect()}
+    rows = [(p, *spans[p], 0, total, counts.get(i, 0)) for i, p in enumerate(sorted(spans))]
+    return _frame(edges.sparkSession, rows), moved, total
+
+
 STRATEGIES = {
     "row": row,
     "column": column,
@@ -408,11 +446,21 @@ STRATEGIES = {
     "checkerboard": checkerboard,
     "cycle": cycle,
     "stagger": stagger,
+    "lp": lambda edges, parts, **options: lp_parts(edges, parts, **options)[0],
 }
 
 
 def partition(edges: DataFrame, strategy: str, parts: int, **options) -> DataFrame:
-    """Blocks by the strategy of that name; an unknown name raises."""
+    """Blocks by the strategy of that name; an unknown name raises. Blocks of "hash" and "lp" are in the ids of their order."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     return STRATEGIES[strategy](edges, parts, **options)
+
+
+def laid_out(edges: DataFrame, strategy: str, parts: int, n: int | None = None, **options) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks, the edges in the ids that the blocks are in, and the number of these ids."""
+    n = num_vertices(edges, n)
+    if strategy == "lp":
+        return lp_parts(edges, parts, n, **options)
+    blocks = partition(edges, strategy, parts, n=n, **options)
+    return blocks, hash_moved(edges, parts, n) if strategy == "hash" else edges, n

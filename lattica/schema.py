@@ -7,11 +7,6 @@ from pyspark.sql import types as T
 #: What results show for a vertex that was never reached (inside the engine it's null).
 UNREACHED = 4294967295
 
-EDGES = T.StructType([T.StructField("src", T.LongType(), False), T.StructField("dst", T.LongType(), False)])
-WEIGHTED_EDGES = T.StructType([*EDGES, T.StructField("w", T.LongType())])
-VERTICES = T.StructType([T.StructField(c, T.LongType()) for c in ("v", "orig_id", "in_degree", "out_degree")])
-RESULT_LONG = T.StructType([T.StructField("v", T.LongType(), False), T.StructField("val", T.LongType())])
-RESULT_DOUBLE = T.StructType([T.StructField("v", T.LongType(), False), T.StructField("val", T.DoubleType())])
 BLOCKS = T.StructType([T.StructField("owner", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("from_source", "to_source", "from_dest", "to_dest", "edges"))])
 ROUNDS = T.StructType(
     [
@@ -21,5 +16,7 @@ ROUNDS = T.StructType(
         T.StructField("activated", T.LongType()),
         T.StructField("mode", T.StringType()),
         T.StructField("seconds", T.DoubleType()),
+        T.StructField("messages", T.LongType()),
+        T.StructField("vertices", T.LongType()),
     ]
 )

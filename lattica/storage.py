@@ -31,6 +31,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return save(df, new_path(df.sparkSession, tag))
 
 
+def save_dealt(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write Parquet at ``path``, bucketed by ``key`` in as many buckets as a shuffle has partitions, and read it back.
+
+    Joins and aggregates by the key then need no exchange of this side. The catalog knows
+    the table only while the result is made; its files are all that is needed.
+    """
+    spark = df.sparkSession
+    name = f"lattica_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(partitions(spark), key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    out = spark.table(name).select("*")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -99,3 +99,38 @@ def test_pagerank_resumes_its_remaining_rounds(spark, tmp_path):
     path = f"{tmp_path}/pr"
     run(graph, program, path=path)
     assert values(run(graph, program, path=path, resume=True)) == want
+
+
+def test_a_round_exchanges_messages_only(spark):
+    from lattica.loop import superstep
+    from lattica.operators import algorithms, build
+    from lattica.storage import partitions, save_dealt, new_path
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    e = spark.createDataFrame([(k, (k * 7) % 50) for k in range(50)], "src long, dst long").repartition(partitions(spark), "src").persist()
+    state = spark.range(50).selectExpr("id as v", "if(id = 0, 0L, null) as val", "id = 0 as active", "1L as deg")
+    state = save_dealt(state, new_path(spark, "test"), "v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in ("push", "pull"):
+            plan = superstep(state, e, algorithms.bfs_program(0), mode)._jdf.queryExecution().executedPlan().toString()
+            above_cache = [x for x in plan.split("InMemoryRelation")[0].split("\n") + plan.split("Initial Plan")[-1].split("\n")[-8:] if "Exchange hashpartitioning(v" in x]
+            assert len(above_cache) == 1 and "Bucketed: true" in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        e.unpersist()
+
+
+def test_hubs_get_their_values_by_broadcast(spark, monkeypatch):
+    from lattica import loop
+    from lattica.operators import algorithms, build
+
+    rows = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(400, 420)] + [(5, 400), (0, 7)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    g = build.build_graph(e, weight="synthetic")
+    want = {name: sorted(map(tuple, f(g).values().collect())) for name, f in (("bfs", lambda g: algorithms.bfs(g, 0)), ("sssp", lambda g: algorithms.sssp(g, 0)), ("pr", lambda g: algorithms.pagerank(g, 3)))}
+    monkeypatch.setattr(loop, "HUB_EDGES", 10)
+    assert sorted(map(tuple, algorithms.bfs(g, 0).values().collect())) == want["bfs"]
+    assert sorted(map(tuple, algorithms.sssp(g, 0, direction="pull").values().collect())) == want["sssp"]
+    got = sorted(map(tuple, algorithms.pagerank(g, 3).values().collect()))
+    assert [x[0] for x in got] == [x[0] for x in want["pr"]] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want["pr"], strict=True))

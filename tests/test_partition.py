@@ -130,3 +130,55 @@ def test_sets(spark):
     ids = lambda df: sorted(r.v for r in df.collect())
     assert ids(sets.union(a, b)) == [1, 2, 3, 100_000] and ids(sets.intersect(a, b)) == [2]
     assert ids(sets.complement(a, sets.union(a, b))) == [3] and sets.bitmap_cardinality(sets.bitmap(a)).first().n == 3
+
+
+FRESH = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '4').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()
+e = spark.read.parquet(sys.argv[1])
+from lattica.operators import partition as part, stats
+from lattica import sinks
+blocks = part.naive(e, 4, 300)
+assert sum(r.edges for r in stats.block_edges(e, blocks).collect()) == 4000
+assert stats.pair_gain(e, blocks).count() and stats.communication_report(e, blocks).first().total
+assert part.vertex_sets(e, blocks).count()
+sinks.write_partitioned(e, blocks, sys.argv[2], 300)
+assert spark.read.parquet(sys.argv[2] + '/edges').count() == 4000
+assert part.bin_pack(e, part.naive(e, 9, 300), 3, 2.0).count() == 9
+"""
+
+
+def test_the_edge_table_may_be_the_first_frame_of_a_session(edges, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    edges.write.parquet(f"{tmp_path}/e")
+    subprocess.run([sys.executable, "-B", "-c", FRESH, f"{tmp_path}/e", f"{tmp_path}/out"], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=300)
+
+
+def test_a_block_above_the_limit_is_refused(spark):
+    e = spark.createDataFrame([(0, 0)] * 900 + [(70, 70), (130, 0)], "src long, dst long")
+    with pytest.raises(ValueError, match="alone"):
+        part.bin_pack(e, part.naive(e, 9, 192), 8, 1.1)
+
+
+def test_parts_of_vertices_become_strips(spark, edges):
+    blocks, moved, n = part.laid_out(edges, "lp", 3, 300)
+    tiles(spark, moved, blocks, n)
+    rows = blocks.orderBy("from_source").collect()
+    assert all(r.from_source % 64 == 0 for r in rows) and {(r.from_dest, r.to_dest) for r in rows} == {(0, n)}
+    assert moved.count() == 4000
+    blocks, moved, n = part.laid_out(edges, "hash", 3, 300)
+    tiles(spark, moved, blocks, n)
+
+
+@given(st.lists(st.integers(1, 500), max_size=40, unique=True), st.integers(0, 600))
+@settings(max_examples=20, deadline=None)
+def test_segment_is_the_range(spark, inner, v):
+    from pyspark.sql import functions as F
+
+    cuts = [0, *sorted(inner), 501]
+    got = spark.range(v, v + 1).select(part.segment(F.col("id"), cuts).alias("s")).first().s
+    assert got == sum(c <= v for c in cuts[1:-1])
