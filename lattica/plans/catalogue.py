@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import registry, sinks
 from ..functions import segments, sets
 from ..functions.reduce import REDUCERS
 from ..loop import initial, superstep
 from ..operators import algorithms, build, stats
 from ..operators import partition as part
-from ..sources import copart, copart_q40, parse_edge_lines, retq, rmat
+from ..sources import copart, copart_q40, from_table, parse_edge_lines, read_block_metadata, read_graph, read_partitioned, read_results, retq, rmat
 from ..sources.logs import parse_trace, parse_worker_lines, run_metrics
-from ..validate import beyond, differences
+from ..storage import new_path
+from ..validate import beyond, differences, stale
 from . import sql
 
 QUERIES: dict[str, Callable] = {}
@@ -123,6 +125,75 @@ def parse_lines(spark, d):
     return parse_edge_lines(lines, weighted=True)
 
 
+@query("SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst, CAST(l_quantity AS DOUBLE) AS w FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+def weight_column(spark, d):
+    edges = from_table(spark.read.parquet(f"{d}/lineitem.parquet").withColumn("q", F.col("l_quantity").cast("double")), "l_orderkey", "l_partkey", "q")
+    return build.build_graph(edges, weight="column").edges.select("src", "dst", "w")
+
+
+@query(sql.with_edges("copart_q40") + "SELECT count(*) AS in_degree, count(*) AS out_degree, count(*) AS edges FROM e")
+def degree_check(spark, d):
+    return spark.createDataFrame([build.check(build.build_graph(copart_q40(spark, d)))]).select("in_degree", "out_degree", "edges")
+
+
+@query("WITH a AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS v, CAST(p_partkey % 3 AS INT) AS part FROM part), s AS (SELECT part, count(*) AS n FROM a GROUP BY part), t AS (SELECT part, CAST(coalesce(sum((n + 63) // 64 * 64) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM s) SELECT v, part, first + row_number() OVER (PARTITION BY part ORDER BY v) - 1 AS new_id FROM a JOIN t USING (part)")
+def part_order_ids(spark, d):
+    ids = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("v")).distinct()
+    return build.part_order(ids.withColumn("part", (F.col("v") % 3).cast("int"))).select("v", "part", "new_id")
+
+
+# -- stored and read back ------------------------------------------------------------------
+
+
+def _stored_graph(spark, d):
+    path = new_path(spark, "stored")
+    sinks.write_graph(build.build_graph(copart_q40(spark, d), weight="synthetic"), path)
+    return read_graph(spark, path)
+
+
+@query(sql.with_edges("copart_q40") + "SELECT src, dst, (src + dst) % 100 AS w FROM e")
+def stored_edges(spark, d):
+    return _stored_graph(spark, d).edges.select("src", "dst", "w")
+
+
+@query(sql.degrees("SELECT v, v AS orig_id, in_degree, out_degree FROM g"))
+def stored_vertices(spark, d):
+    return _stored_graph(spark, d).vertices
+
+
+def _stored_parts(spark, d):
+    edges, path = copart(spark, d), new_path(spark, "parts")
+    sinks.write_partitioned(edges, part.cycle(edges, 4), path, part.num_vertices(edges))
+    return path
+
+
+@query("WITH c AS (" + sql.grid(4, "i % 2 * 2 + j % 2") + "), e AS (" + sql.edges("copart") + ") SELECT owner, src, dst FROM e JOIN c ON src >= from_source AND src < to_source AND dst >= from_dest AND dst < to_dest WHERE owner IN (1, 2)")
+def stored_parts(spark, d):
+    return read_partitioned(spark, _stored_parts(spark, d), [1, 2]).select("owner", "src", "dst")
+
+
+@query("WITH c AS (" + sql.grid(4, "i % 2 * 2 + j % 2") + ") SELECT owner, (SELECT max(to_source) FROM c) AS total_v, (SELECT CAST(sum(edges) AS BIGINT) FROM c) AS total_e, from_source, to_source, from_dest, to_dest, edges FROM c")
+def stored_metadata(spark, d):
+    return read_block_metadata(spark, f"{_stored_parts(spark, d)}/metadata")
+
+
+@query(sql.levels("copart_q40", sql.BUSIEST) + "SELECT v, val FROM levels")
+def stored_results(spark, d):
+    g, path = _q40(spark, d), new_path(spark, "results")
+    sinks.write_results(algorithms.bfs(g, _busiest(g)).values(), path)
+    return read_results(spark, path)
+
+
+@query("SELECT CAST(8192 AS BIGINT) AS edges, true AS inside, true AS skewed")
+def rmat_shape(spark, d):
+    """Lines and ids as asked; the first quadrant has the most edges, the last the fewest."""
+    e = rmat(spark, 10, 8, seed=3)
+    quadrant = [F.count_if((F.col("src") >= 512) == F.lit(i)) for i in (False, True)]
+    corner = [F.count_if(((F.col("src") >= 512) == F.lit(i)) & ((F.col("dst") >= 512) == F.lit(i))) for i in (False, True)]
+    inside = (F.min(F.least("src", "dst")) >= 0) & (F.max(F.greatest("src", "dst")) < 1024)
+    return e.agg(F.count("*").alias("edges"), inside.alias("inside"), ((quadrant[0] > 2 * quadrant[1]) & (corner[0] > 5 * corner[1])).alias("skewed"))
+
+
 @query()
 def rmat_degrees(spark, d):
     """Degree histogram of a small R-MAT graph."""
@@ -273,6 +344,32 @@ def direction_per_round(spark, d):
     return algorithms.bfs(g, _busiest(g)).metrics().select("round", "mode")
 
 
+@query(_ROUNDS + ", m AS (SELECT val + 1 AS round, count(DISTINCT dst) AS n FROM levels JOIN e ON src = v WHERE val < 4294967295 GROUP BY val), t AS (SELECT count(*) AS len FROM levels) SELECT CAST(l.round AS INT) AS round, coalesce(m.n, 0) AS messages, CAST(4 * CASE WHEN coalesce(m.n, 0) = 0 THEN 5 ELSE 5 + 2 * m.n END AS BIGINT) AS message_bytes FROM log l LEFT JOIN m ON m.round = l.round, t")
+def messages_per_round(spark, d):
+    g = _q40(spark, d)
+    return algorithms.bfs(g, _busiest(g), direction="push").metrics().select("round", "messages", "message_bytes")
+
+
+@query(sql.levels("copart_q40", sql.BUSIEST) + "SELECT v, val FROM levels")
+def bfs_resumed(spark, d):
+    """Two rounds, then a run that goes on from what they left."""
+    g, path = _q40(spark, d), new_path(spark, "resumed")
+    root = _busiest(g)
+    algorithms.bfs(g, root, path=path, max_rounds=2)
+    return algorithms.bfs(g, root, path=path, resume=True).values()
+
+
+@query(sql.levels("copart_q40", sql.BUSIEST) + "SELECT v, val FROM levels")
+def bfs_kept(spark, d):
+    """On a graph that was loaded before the request."""
+    name = new_path(spark, "kept")
+    registry.load(name, _q40(spark, d))
+    try:
+        return algorithms.bfs(registry.get(name), _busiest(registry.get(name))).values()
+    finally:
+        registry.unload(name)
+
+
 _SEGMENTS = "WITH s AS (SELECT o_orderkey AS k, o_orderkey * 37 % 1500000 AS n, 2000000 AS len FROM orders) "
 
 
@@ -426,6 +523,18 @@ def part_edge_ratio(spark, d):
     return stats.edge_workload_ratio(part.cycle(copart(spark, d), 4)).withColumn("ratio", F.round("ratio", 9))
 
 
+@query("WITH w AS (SELECT n AS communication FROM (" + sql.communication(4, "i % 2 * 2 + j % 2") + "SELECT n FROM comm)) SELECT CAST(sum(communication) AS BIGINT) AS total, round(avg(communication), 6) AS mean, max(communication) AS max, min(communication) AS min, round(max(communication) / avg(communication), 6) AS max_ratio, round(min(communication) / avg(communication), 6) AS min_ratio FROM w")
+def part_comm_report(spark, d):
+    e = copart_q40(spark, d)
+    return stats.communication_report(e, part.cycle(e, 4)).withColumns({c: F.round(c, 6) for c in ("mean", "max_ratio", "min_ratio")})
+
+
+@query("WITH g AS (" + sql.grid(4, "i % 2 * 2 + j % 2") + "), f AS (SELECT owner, min(from_source * 1000000000 + from_dest) AS first FROM g GROUP BY owner), o AS (SELECT owner, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS new_owner FROM f) SELECT new_owner AS owner, from_source, to_source, from_dest, to_dest, edges FROM g JOIN o USING (owner)")
+def part_normalized(spark, d):
+    blocks = part.cycle(copart(spark, d), 4)
+    return part.normalize(blocks.withColumn("owner", (F.col("owner") * 7 + 3) % 11))
+
+
 @query()
 def part_binpack(spark, d):
     e = copart(spark, d)
@@ -437,7 +546,31 @@ def part_checkerboard(spark, d):
     return part.checkerboard(copart(spark, d), 6, ratio=1.5)
 
 
-@query()
+_PACKED = "SELECT {owners} AS owners, CAST(count(*) AS BIGINT) AS edges, true AS within, true AS tiles FROM e"
+
+
+def _packed(e, blocks, parts, ratio):
+    """Owners, their edges, whether all keep the limit, and whether each edge lies in one block of its count."""
+    loads = [r.workload for r in stats.workload(blocks).collect()]
+    counted = stats.block_edges(e, blocks).withColumnRenamed("edges", "counted")
+    out = blocks.groupBy("owner").agg(F.sum("edges").alias("edges")).join(counted, "owner", "left")
+    sums = out.agg(F.count_if(F.col("edges") >= 0).cast("int").alias("owners"), F.sum("edges").alias("edges"), F.every(F.col("edges") == F.coalesce("counted", F.lit(0))).alias("tiles"))
+    return sums.withColumn("within", F.lit(max(loads) <= sum(loads) / parts * ratio))
+
+
+@query(sql.with_edges("copart") + _PACKED.format(owners=4))
+def part_binpack_check(spark, d):
+    e = copart(spark, d)
+    return _packed(e, part.bin_pack(e, part.naive(e, 16), 4, 1.3), 4, 1.3)
+
+
+@query(sql.with_edges("copart") + _PACKED.format(owners=6))
+def part_checkerboard_check(spark, d):
+    e = copart(spark, d)
+    return _packed(e, part.checkerboard(e, 6, ratio=1.5), 6, 1.5)
+
+
+@query("WITH b AS (" + sql.mondriaan("src", 2, 3) + "), e AS (" + sql.edges("copart") + "), s AS (SELECT x AS a, lead(x) OVER (ORDER BY x) AS z FROM (SELECT from_source AS x FROM b UNION SELECT to_source FROM b)), t AS (SELECT x AS a, lead(x) OVER (ORDER BY x) AS z FROM (SELECT from_dest AS x FROM b UNION SELECT to_dest FROM b)), c AS (SELECT owner, s.a AS from_source, s.z AS to_source, t.a AS from_dest, t.z AS to_dest FROM s, t, b WHERE s.a >= b.from_source AND s.z <= b.to_source AND t.a >= b.from_dest AND t.z <= b.to_dest) SELECT c.*, count(src) AS edges FROM c LEFT JOIN e ON src >= from_source AND src < to_source AND dst >= from_dest AND dst < to_dest GROUP BY ALL")
 def part_refined(spark, d):
     e = copart(spark, d)
     return part.refine(e, part.mondriaan_row_column(e, 6))
@@ -448,11 +581,26 @@ def part_lp(spark, d):
     return part.label_propagation(copart_q40(spark, d), 4)
 
 
-@query(sql.with_edges("copart") + "SELECT count(*) AS edges FROM e")
+@query(sql.with_edges("copart") + "SELECT count(*) AS edges, (SELECT max(greatest(src, dst)) + 1 FROM e) AS vertices, true AS within, true AS no_worse FROM e")
 def part_lp_tiles(spark, d):
-    """The edge total behind the cut report of the vertex partitioning."""
+    """All vertices have a part, no part is above its room, and no more edges are cut than between the ranges it starts from."""
     e = copart(spark, d)
-    return part.edge_cut(e, part.label_propagation(e, 4, rounds=1)).select("edges")
+    n = part.num_vertices(e)
+    state = part.label_propagation(e, 4, n)
+    start = spark.range(n).select(F.col("id").alias("v"), F.floor(F.col("id") * 4 / n).cast("int").alias("part"))
+    cut, before = part.edge_cut(e, state).first(), part.edge_cut(e, start).first()
+    sizes = state.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("v").alias("k"))
+    room = int(1.05 * -(-n // 4))
+    return sizes.agg(F.lit(cut.edges).alias("edges"), F.sum("k").alias("vertices"), (F.max("n") <= room).alias("within"), F.lit(cut.cut <= before.cut).alias("no_worse"))
+
+
+@query(sql.with_edges("copart") + "SELECT CAST(count(*) AS BIGINT) AS edges, true AS aligned, true AS tiles FROM e")
+def part_lp_strips(spark, d):
+    """Vertices ordered by part: strips begin at multiples of 64 and hold all edges."""
+    e = copart(spark, d)
+    blocks, moved, _ = part.laid_out(e, "lp", 4)
+    counted = stats.block_edges(moved, blocks).withColumnRenamed("edges", "counted")
+    return blocks.join(counted, "owner", "left").agg(F.sum("edges").alias("edges"), F.every(F.col("from_source") % 64 == 0).alias("aligned"), F.every(F.col("edges") == F.coalesce("counted", F.lit(0))).alias("tiles"))
 
 
 # -- checks and logs -------------------------------------------------------------------------------
@@ -469,6 +617,14 @@ def result_check(spark, d):
     return exact.crossJoin(beyond(x, y).agg(F.count("*").alias("near")))
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS path FROM orders WHERE o_orderkey % 60 > 30")
+def stale_files(spark, d):
+    """Files older than half an hour, of files whose age is the order's number modulo 60 minutes."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("path"))
+    aged = o.withColumn("modificationTime", F.current_timestamp() - F.make_dt_interval(mins=(F.col("path") % 60).cast("int")))
+    return stale(aged).select("path")
+
+
 _LOGS = "WITH l AS (SELECT o_custkey % 50 AS worker, o_orderkey % 997 AS ms, o_orderkey % 31 AS mb FROM orders) "
 
 

@@ -16,7 +16,7 @@ def duck():
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("lineitem", "orders"):
+    for t in ("lineitem", "orders", "part"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

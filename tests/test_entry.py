@@ -47,5 +47,7 @@ def test_cli_build_run_partition_verify(spark, tmp_path, capsys):
     for algorithm in ("sssp", "cc", "pagerank"):
         assert cli.main(["run", json.dumps({"algorithm": algorithm, "graph": graph, "iterations": 2, "output": str(tmp_path / algorithm)})]) == 0
     assert cli.main(["partition", graph, str(tmp_path / "p"), "--strategy", "row", "--parts", "2"]) == 0
+    assert cli.main(["partition", graph, str(tmp_path / "h"), "--strategy", "hash", "--parts", "2"]) == 0
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "h/edges")).select("src", "dst").collect())) == [(0, 2), (1, 3), (2, 1), (3, 0)]
     assert cli.main(["verify", out, out]) == 0 and cli.main(["verify", out, str(tmp_path / "cc")]) == 1
     assert cli.main(["ping"]) == 0 and "pong" in capsys.readouterr().out
