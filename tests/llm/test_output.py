@@ -34,7 +34,9 @@ def test_best_fit_by_definition(items):
     assert op4_packing.best_fit(items, 30) == naive_best_fit(items, 30)
 
 
-def test_packing_places_every_token_once(spark):
+@pytest.mark.parametrize("shard", [2048, 40])
+def test_packing_places_every_token_once(spark, monkeypatch, shard):
+    monkeypatch.setattr(op4_packing, "SHARD", shard)
     rows = h.awkward() + [(100 + k, h.prose(k, 5 + 13 * (k % 40)), "en", f"s{k % 3}", 0, "x", 1) for k in range(150)]
     got = op4_packing.pack(op4_packing.items_of(h.frame(spark, rows)), 300).collect()
     want = sorted(len(h.words(r[1])) for r in rows)
@@ -52,6 +54,20 @@ def test_packing_places_every_token_once(spark):
     assert op4_packing.pack(op4_packing.items_of(h.frame(spark, []))).count() == 0
 
 
+def test_bins_meet_across_shards(spark, monkeypatch):
+    # one document a shard: only the later rounds can unite
+    rows = [(k, h.prose(k, 10), None, None, 0, "x", 1) for k in range(120)]
+    items = op4_packing.items_of(h.frame(spark, rows))
+    together = op4_packing.fill(op4_packing.pack(items, 100), 100).first()
+    monkeypatch.setattr(op4_packing, "SHARD", 8)
+    apart = op4_packing.fill(op4_packing.pack(items, 100), 100).first()
+    assert together.bins == 12 and together.tokens == apart.tokens == 1200 and apart.bins <= 16
+    monkeypatch.setattr(op4_packing, "SHARD", 40)
+    same = [(7, "the same words", "en", "s", 0, "x", 1)] * 100
+    got = op4_packing.pack(op4_packing.items_of(h.frame(spark, same))).collect()
+    assert len(got) == 100 and len({r.bin_id for r in got}) == 100  # one source, one cluster: each alone
+
+
 @pytest.mark.parametrize("last_rows", [10_000, 2])
 def test_mixing_equals_sql(spark, monkeypatch, last_rows):
     monkeypatch.setattr(op10_mixing, "LAST_ROWS", last_rows)
