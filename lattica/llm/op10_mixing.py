@@ -18,8 +18,8 @@ Defined results: a null text has no tokens; null lang and source are "none"; eve
 node needs a positive weight (``default`` if it has no own); shares are rounded
 down; a budget above what the tree can give is cut to that; documents without
 tokens are in a prefix if the one before them is; rows with equal doc_id and tokens are
-interchangeable, each counts; an empty table gives an empty result; extra columns
-are ignored.
+interchangeable, each counts; a very long text is one document, taken whole or not at
+all; an empty table gives an empty result; extra columns are ignored unless carried.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Documents become rows of transformed statistics (docstats.FEATURES). Each class
 has a mean and a covariance that is shrunk towards the pooled one and towards a
-scaled identity; the Cholesky factors are kept with the model, and a score is
+scaled identity; the Cholesky factors and their inverses are made once and kept with the
+model, so that a Mahalanobis distance is one product. A score is
 the logistic of the difference of Mahalanobis log-densities plus log prior odds.
 Moments are summed on the executors over every labelled training row; only the
 sums, of fixed size, come to the driver.
@@ -10,7 +11,11 @@ sums, of fixed size, come to the driver.
 Defined results: null and empty texts are scored as texts of no words; a label
 row repeated for a document counts once with its largest label; null labels are
 no labels; with a class that has no training row, every score is the share of
-label 1 (0.5 without any labels); an empty table gives an empty result.
+label 1 (0.5 without any labels); very long texts are counted whole, as one row of
+statistics; repeated document rows are scored each, and each counts in the fit if its id
+has a label; equal scores at the threshold are predicted 1; rows without a doc_id are
+scored and never learned from; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +40,10 @@ TEMPERATURE = 2.0
 
 @dataclass
 class Model:
-    """Class means, cached Cholesky factors (lower) and log-determinants, log prior odds."""
+    """Class means, inverses of the Cholesky factors (lower) and log-determinants, log prior odds."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     logdets: np.ndarray
     odds: float
     prior: float
@@ -47,7 +52,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.whole:
             return np.full(len(x), self.prior)
-        density = [-0.5 * (np.square(np.linalg.solve(f, (x - m).T)).sum(0) + d) for m, f, d in zip(self.means, self.factors, self.logdets, strict=True)]
+        density = [-0.5 * (np.square((x - m) @ f.T).sum(1) + d) for m, f, d in zip(self.means, self.inverses, self.logdets, strict=True)]
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0] + self.odds) / TEMPERATURE, -500, 500)))
 
 
@@ -101,7 +106,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     shrunk = (1 - SPHERE) * shrunk + SPHERE * scale * np.eye(D)
     factors = np.linalg.cholesky(shrunk)
     logdets = 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1)
-    return Model(means, factors, logdets, float(np.log(n[1] / n[0])), prior, True)
+    inverses = np.linalg.solve(factors, np.broadcast_to(np.eye(D), factors.shape))
+    return Model(means, inverses, logdets, float(np.log(n[1] / n[0])), prior, True)
 
 
 def classify(stats: DataFrame, model: Model) -> DataFrame:

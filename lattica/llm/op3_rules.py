@@ -9,7 +9,13 @@ if and only if the ratio reaches ``threshold``.
 Defined results: a null or empty text has no words and fails the base rules (its
 ratio is 0); repeated rows are counted and judged like any others; an empty table
 gives an empty result; with no trusted document both multinomials are the raw one
-and all ratios are 0; extra columns of the input are ignored.
+and all ratios are 0; very long texts are counted and judged whole; a ratio equal to the
+threshold keeps the document; rows without a doc_id are judged and never trusted; extra
+columns of the input are ignored.
+
+The threshold is what a document of ordinary words may lose on words that the trusted
+documents happen not to have: on the test tables clean texts lie above -0.12, machine junk
+below -0.2.
 """
 
 from __future__ import annotations

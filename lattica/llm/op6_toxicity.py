@@ -22,7 +22,9 @@ Words are runs of letters, lower-cased. Defined results: a null or empty text
 has no evidence and gets the curve's value at none; null labels are no labels; a
 document labelled twice counts with its largest label; without both classes in
 the training rows every score is the share of label 1 (0 without labels);
-an empty table gives an empty result; extra columns are ignored.
+repeated rows are scored each, and each is counted if its id has a label; a very long
+text is one document, whose words are all counted; a score equal to the threshold is
+predicted 1; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

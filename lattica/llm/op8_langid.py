@@ -10,8 +10,9 @@ held-back fifth of that sample.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and
 for every text if nothing can be learned; ties between languages go to the first
-in alphabetical order; repeated rows count as often as they occur; an empty table
-gives an empty result; extra columns are ignored.
+in alphabetical order; repeated rows count as often as they occur; a very long text is
+one document of all its n-grams; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Ftrl:
-    """Multinomial FTRL-proximal with elastic net; the last cell is a bias without penalties."""
+    """Multinomial FTRL-proximal with elastic net; the last cell is a bias."""
 
     def __init__(self, n_classes: int):
         self.z, self.n = np.zeros((n_classes, CELLS + 1)), np.zeros((n_classes, CELLS + 1))

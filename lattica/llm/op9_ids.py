@@ -8,8 +8,9 @@ nothing half written. Words repeat, so a worker tokenises each different piece b
 blanks once and keeps it; the tokenizer drops blanks and looks at nothing beyond them.
 
 Defined results: a null or empty text has no ids but the end id; documents without
-a doc_id come first; rows that share a doc_id follow each other by text; an empty
-table gives no file and an empty result; extra columns are ignored.
+a doc_id come first; rows that share a doc_id follow each other by text; a very long text
+is tokenised whole and lies in one file; an empty table gives no file and an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -46,6 +46,36 @@ def test_quality_rules_judge_every_document(spark):
     assert empty and all(r.base_failed and not r.kept and r.log_ratio == 0 for r in empty)
 
 
+def test_ratio_and_verdict_by_definition(spark):
+    from collections import Counter
+
+    rows = corpus(50, 20) + h.awkward()
+    trusted = set(range(40))
+    n = op3_rules.BUCKETS
+
+    def buckets(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        _, _, bounds, hashes = bytescan.word_hashes(raw, np.array([0, len(raw)]))
+        return op3_rules._grams(hashes, bounds)[0].tolist()
+
+    grams = [buckets(r[1]) for r in rows]
+    assert all(len(g) == max(2 * len(h.words(r[1])) - 1, 0) for g, r in zip(grams, rows, strict=True))
+    raw, good = Counter(), Counter()
+    for g, r in zip(grams, rows, strict=True):
+        raw.update(g)
+        if r[0] in trusted:
+            good.update(g)
+    p_raw = lambda k: (raw[k] + 0.5) / (raw.total() + 0.5 * n)
+    p_good = lambda k: (good[k] + op3_rules.SMOOTHING * n * p_raw(k)) / (good.total() + op3_rules.SMOOTHING * n)
+    want = []
+    for g, r in zip(grams, rows, strict=True):
+        ratio = sum(np.log(p_good(k)) - np.log(p_raw(k)) for k in g) / max(len(g), 1)
+        w, _, _, _, again = brute_counts(r[1]) if r[0] != 9 else (60_000, 0, 0, 0, 0)
+        want.append((str(r[0]), round(ratio, 4), not (w < 10 or 100 * again > 20 * w) and ratio >= op3_rules.THRESHOLD))
+    got = op3_rules.quality_rules(h.frame(spark, rows), spark.createDataFrame([(k,) for k in trusted], "doc_id long")).collect()
+    assert sorted(want) == sorted((str(r.doc_id), round(r.log_ratio, 4), r.kept) for r in got)
+
+
 def test_rules_without_trusted_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert op3_rules.quality_rules(h.frame(spark, []), none).count() == 0
@@ -67,6 +97,28 @@ def test_quality_classifier_separates_and_scores_all(spark):
     assert all(score[k] > 0.7 for k in range(21, 120, 3)) and all(score[k] < 0.5 for k in range(120, 160, 3))
 
 
+def test_quality_scores_by_the_formula(spark):
+    docs = h.frame(spark, corpus(60, 40))
+    stats = op2_quality.statistics(docs)
+    x = {r.doc_id: np.array(r.x) for r in stats.collect()}
+    known = {k: int(k < 60) for k in range(100) if k % 4}
+    d, groups = op2_quality.D, {c: np.array([x[k] for k, y in known.items() if y == c]) for c in (0, 1)}
+    own = {c: np.cov(g.T, bias=True) for c, g in groups.items()}
+    n = {c: len(g) for c, g in groups.items()}
+    pooled = (own[0] * n[0] + own[1] * n[1]) / (n[0] + n[1])
+    log_density = {}
+    for c in (0, 1):
+        lean = max(op2_quality.POOLED, d / (d + n[c]))
+        cov = (1 - op2_quality.SPHERE) * ((1 - lean) * own[c] + lean * pooled) + op2_quality.SPHERE * max(np.trace(pooled) / d, 1e-6) * np.eye(d)
+        mean, inverse, det = groups[c].mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        log_density[c] = {k: -0.5 * ((v - mean) @ inverse @ (v - mean) + det) for k, v in x.items()}
+    model = op2_quality.fit(stats, labels(spark, list(known.items())))
+    for r in op2_quality.classify(stats, model).collect():
+        z = (log_density[1][r.doc_id] - log_density[0][r.doc_id] + np.log(n[1] / n[0])) / op2_quality.TEMPERATURE
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -500, 500)))) < 1e-6
+    assert op2_quality.classify(op2_quality.statistics(h.frame(spark, [])), model).count() == 0
+
+
 @pytest.mark.parametrize("rows,want", [([], 0.5), ([(1, 1), (2, 1)], 1.0)])
 def test_quality_without_both_classes(spark, rows, want):
     stats = op2_quality.statistics(h.frame(spark, h.awkward()))
@@ -163,6 +215,53 @@ def test_language_on_held_out_rows(spark):
     assert op8_langid.identify(h.frame(spark, []), model).count() == 0
 
 
+def test_language_terms_and_learning_by_definition():
+    from collections import Counter
+
+    m32, bits = (1 << 32) - 1, op8_langid.BITS
+
+    def cells(text):
+        c = [ord(x.lower()) if x.isalpha() else 32 for x in text]
+        out = Counter()
+        for i in range(len(c)):
+            hh = c[i] * 0x9E3779B1 & m32
+            out[hh >> (32 - bits)] += 1
+            for k in (1, 2):
+                if i + k < len(c):
+                    hh = ((hh ^ hh >> 15) * 0x85EBCA77 + c[i + k] * 0xC2B2AE3D) & m32
+                    out[((hh ^ hh >> 13) * 0x27D4EB2F & m32) >> (32 - bits)] += 1
+        return out
+
+    texts = ["", "Ab 1c", "über Straße!", "ÉTÉ été", "x", "漢字 kana ..", " "]
+    raw = [t.encode() for t in texts]
+    rows, at, counts, has = op8_langid.terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = [Counter() for _ in texts]
+    for r, c, k in zip(rows.tolist(), at.tolist(), counts.tolist(), strict=True):
+        got[r][c] = k
+    assert got == [cells(t) for t in texts] and has.tolist() == [any(x.isalpha() for x in t) for t in texts]
+
+    # FTRL with elastic net, coordinate by coordinate
+    rng = random.Random(3)
+    ftrl, z, n = op8_langid.Ftrl(3), {}, {}
+    weight = lambda y, i: 0.0 if abs(z.get((y, i), 0)) <= op8_langid.L1 else (np.sign(z[y, i]) * op8_langid.L1 - z[y, i]) / ((op8_langid.BETA + n[y, i] ** 0.5) / op8_langid.ALPHA + op8_langid.L2)
+    for _ in range(60):
+        x = {rng.randrange(40): rng.random() for _ in range(5)}
+        label = rng.randrange(3)
+        ftrl.learn(np.array(list(x)), np.array(list(x.values())), label)
+        x[op8_langid.CELLS] = 1.0
+        e = np.exp([sum(weight(y, i) * v for i, v in x.items()) for y in range(3)])
+        p = e / e.sum()
+        before = {(y, i): weight(y, i) for y in range(3) for i in x}
+        for y in range(3):
+            for i, v in x.items():
+                g = (p[y] - (y == label)) * v
+                old = n.get((y, i), 0.0)
+                n[y, i] = old + g * g
+                z[y, i] = z.get((y, i), 0.0) + g - (n[y, i] ** 0.5 - old**0.5) / op8_langid.ALPHA * before[y, i]
+    got = ftrl.weights()
+    assert np.allclose(got[:, :40], [[weight(y, i) for i in range(40)] for y in range(3)])
+
+
 def test_language_with_nothing_to_learn(spark):
     docs = h.frame(spark, [(1, "a", None, "s", 0, "x", 1)])
     model = op8_langid.fit(docs)
