@@ -4,14 +4,16 @@
    128-bit digest of the set and 64 MinHash values. Documents of equal digest are
    one class, whose smallest doc_id stands for it.
 2. The forest: 32 signature orders. In order t a class has the label of MinHash
-   values number order_t[0], order_t[1], ...; all labels are sorted, and classes whose
-   longest common prefix reaches the depth of their region are neighbours. A region
-   starts at DEPTH values and goes one deeper while more than REGION classes share the
-   prefix (at DEEPEST each class has the REGION next ones as neighbours, and the one
-   beside it is a candidate in any case). Neighbours are candidates unless four bits of
-   each of their 64 values agree five standard deviations less often than those of sets
-   as alike as asked. Sorting ties by node splits even a label that a third of all
-   classes share.
+   values number order_t[0], order_t[1], ... (16 of them); all labels are sorted by range, and
+   classes whose longest common prefix reaches the depth of their region are neighbours.
+   A region starts at DEPTH values and goes one deeper while more than REGION classes
+   share the prefix, down to the whole label (there each class has the REGION next ones as
+   neighbours, and the one beside it is a candidate in any case).
+   A task reads its range in chunks and carries the last REGION labels over; the REGION
+   labels on either side of each bound between ranges meet in a task of their own.
+   Neighbours are candidates unless four bits of each of their 64 values agree five
+   standard deviations less often than those of sets as alike as asked. Sorting ties by
+   node splits even a label that a third of all classes share.
 3. Connected candidates form pools. In blocks of at most BLOCK classes, pools are
    closed exactly on full sets: any two classes of a block that no chain of links
    joins yet are compared. Pools of several blocks go on in rounds: classes outside
@@ -24,13 +26,15 @@ Two classes are linked if 100 * |A and B| >= ``percent`` * |A or B|.
 Defined results: a null or empty text (no words) has the empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle; rows that share
 a doc_id are one document to the links; a row without a doc_id takes no part (null
-component, kept); an empty table gives an empty result; extra columns are ignored.
+component, kept); a very long text is one set, which a task holds whole; pairs at exactly
+``percent`` are linked; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,12 @@ from . import bytescan as b
 from .common import attach, groups, materialize, steps, table
 from .components import components, repoint
 
-VALUES, ORDERS, DEPTH, DEEPEST, REGION = 64, 32, 3, 5, 64
+VALUES, ORDERS, DEPTH, DEEPEST, REGION = 64, 32, 3, 16, 64
+#: Values of a label that are kept whole; of the further ones two bytes.
+WHOLE = 3
 BLOCK = 64
+#: Labels that a task looks at in one go, and labels of a range at least, about.
+CHUNK, RANGE_LABELS = 20_000, 4_096
 #: Pivots of a pool in the first round; four times as many in each further one.
 PIVOTS = 64
 
@@ -94,7 +102,9 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, vals binary")
 
 
-_WIDTH = 1 + 4 * DEEPEST
+#: A label's bytes: the order, then its values; where each value ends.
+_ENDS = 1 + np.array([4 * min(k, WHOLE) + 2 * max(k - WHOLE, 0) for k in range(DEEPEST + 1)])
+_WIDTH = int(_ENDS[-1])
 _ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
@@ -109,16 +119,18 @@ def _labels(batches):
             for t in range(ORDERS):
                 label = np.empty((n, _WIDTH), np.uint8)
                 label[:, 0] = t
-                label[:, 1:] = values[:, _ORDER[t]].reshape(n, -1)
+                own = values[:, _ORDER[t]]
+                label[:, 1 : _ENDS[WHOLE]] = own[:, :WHOLE].reshape(n, -1)
+                label[:, _ENDS[WHOLE] :] = own[:, WHOLE:, 2:].reshape(n, -1)
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_WIDTH), n, [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([flat, part.column("node"), sketch], names=["label", "node", "sketch"])
 
 
 def _depths(labels: np.ndarray) -> np.ndarray:
-    """Values that each label has in common with the one before it."""
+    """Values that each label has in common with the one before it (another order: -1)."""
     differ = labels[1:] != labels[:-1]
     same = np.where(differ.any(1), differ.argmax(1), labels.shape[1])
-    return np.maximum(same - 1, 0) // 4
+    return np.searchsorted(_ENDS, same, side="right") - 1
 
 
 def _closed(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -135,48 +147,85 @@ def _closed(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pairs(labels: np.ndarray, sketch: np.ndarray, node: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among sorted labels, as few pairs as connect them."""
+    depth = np.concatenate(([-1], _depths(labels)))
+    need = np.full(len(node), DEPTH)
+    for d in range(DEPTH, DEEPEST):
+        at = np.cumsum(depth < d)  # number of the run of labels with d values in common
+        crowded = np.bincount(at, minlength=at[-1] + 1)[at] > REGION
+        deeper = crowded & (need == d)
+        if not deeper.any():
+            break
+        need[deeper] = d + 1
+    region = np.cumsum(depth < need)
+    size = np.bincount(region, minlength=region[-1] + 1)[region]
+    beside = np.flatnonzero((size > REGION) & (depth >= need))
+    pairs = [(beside - 1, beside)]
+    for k in range(1, REGION):
+        i = np.flatnonzero(region[:-k] == region[k:])
+        if not len(i):
+            break
+        i = i[_ALIKE[sketch[i] ^ sketch[i + k]].sum(1, dtype=np.int64) >= least]
+        pairs.append((i, i + k))
+    i, j = (np.concatenate([x[m] for x in pairs]) for m in (0, 1))
+    low = _closed(len(node), i, j)
+    pair = np.flatnonzero(low != np.arange(len(node)))
+    return node[pair], node[low[pair]]
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch):
+    """Labels and sketches as byte matrices, and nodes."""
+    flat = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(rows.num_rows, -1) for c in ("label", "sketch")]
+    return *flat, rows.column("node").to_numpy()
+
+
+_FOREST = "node long, other long, label binary, sketch binary, part int, last boolean, n long"
+
+
 def _neighbours(least: float):
-    """Candidates among the sorted labels of a partition, as few pairs as connect them; also its first and last label (v null)."""
+    """Candidates within a range; also its first and its last labels (other null, with the number of all)."""
 
     def run(batches):
-        raw, marks, nodes = [], [], []
+        part, total, held, waiting, first, last = TaskContext.get().partitionId(), 0, [], 0, None, None
+        names = [x.split()[0] for x in _FOREST.split(", ")]
+
+        def flush():
+            nonlocal held, waiting, first, last
+            new = pa.Table.from_batches(held).select(["label", "sketch", "node"])
+            held, waiting = [], 0
+            both = new if last is None else pa.concat_tables([last, new])
+            first = both.slice(0, REGION) if last is None else first
+            u, v = _pairs(*_arrays(both), least)
+            last = both.slice(max(both.num_rows - REGION, 0)).combine_chunks()
+            none = [pa.nulls(len(u), t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *none], names=names)
+
         for batch in batches:
-            raw.append(b"".join(batch.column("label").to_pylist()))
-            marks.append(b"".join(batch.column("sketch").to_pylist()))
-            nodes.append(batch.column("node").to_numpy())
-        if not sum(map(len, nodes)):
-            return
-        labels = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, _WIDTH)
-        sketch = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, VALUES // 2)
-        node = np.concatenate(nodes)
-        depth = np.concatenate(([0], _depths(labels)))
-        need = np.full(len(node), DEPTH)
-        for d in range(DEPTH, DEEPEST):
-            at = np.cumsum(depth < d)  # number of the run of labels with d values in common
-            crowded = np.bincount(at, minlength=at[-1] + 1)[at] > REGION
-            need[crowded & (need == d)] = d + 1
-        region = np.cumsum(depth < need)
-        size = np.bincount(region, minlength=region[-1] + 1)[region]
-        beside = np.flatnonzero((size > REGION) & (np.arange(len(node)) > 0) & (depth >= need))
-        pairs = [(beside - 1, beside)]
-        for k in range(1, REGION):
-            i = np.flatnonzero(region[:-k] == region[k:])
-            if not len(i):
-                break
-            i = i[_ALIKE[sketch[i] ^ sketch[i + k]].sum(1, dtype=np.int64) >= least]
-            pairs.append((i, i + k))
-        i, j = (np.concatenate([x[m] for x in pairs]) for m in (0, 1))
-        low = _closed(len(node), i, j)
-        pair = np.flatnonzero(low != np.arange(len(node)))
-        ends = [0, len(node) - 1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((node[pair], node[ends]))),
-                pa.array([*node[low[pair]].tolist(), None, None], pa.int64()),
-                pa.array([*[None] * len(pair), *(labels[i].tobytes() for i in ends)], pa.binary()),
-            ],
-            names=["u", "v", "label"],
-        )
+            held.append(batch)
+            waiting += batch.num_rows
+            total += batch.num_rows
+            if waiting >= CHUNK:
+                yield flush()
+        if waiting:
+            yield flush()
+        if total:
+            for rows, end in ((first, False), (last, True)):
+                n = rows.num_rows
+                label, sketch, node = (rows.column(c).combine_chunks() for c in ("label", "sketch", "node"))
+                same = [pa.array([x] * n, t) for x, t in ((part, pa.int32()), (end, pa.bool_()), (total, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([node, pa.nulls(n, pa.int64()), label, sketch, *same], names=names)
+
+    return run
+
+
+def _across(least: float):
+    """Candidates among the labels on either side of a bound."""
+
+    def run(batches):
+        for _, rows in groups(batches, ["seam"]):
+            u, v = _pairs(*_arrays(rows), least)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
@@ -185,17 +234,26 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that connect the forest's candidates. ``classes``: node, vals."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(parts, classes.count() * ORDERS // RANGE_LABELS))
     agree = percent / 100 + (1 - percent / 100) / 16
     least = VALUES * agree - 5 * (VALUES * agree * (1 - agree)) ** 0.5
     labels = classes.mapInArrow(_labels, "label binary, node long, sketch binary")
-    found = materialize(labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_neighbours(least), "u long, v long, label binary"), "forest")
-    # two rows a partition: neighbours on either side of a bound
-    ends = sorted((bytes(r.label), r.u) for r in found.where("v is null").select("label", "u").collect())
-    seams = []
-    for (x, u), (y, v) in zip(ends, ends[1:], strict=False):
-        if u != v and int(_depths(np.frombuffer(x + y, np.uint8).reshape(2, -1))[0]) >= DEPTH:
-            seams.append((u, v))
-    return found.where("v is not null").select("u", "v").unionByName(spark.createDataFrame(seams, "u long, v long"))
+    found = materialize(labels.repartitionByRange(ranges, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_neighbours(least), _FOREST), "forest")
+    inner = found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    ends = found.where("other is null")
+    # one row a range comes to the driver; a range of fewer labels than a neighbourhood joins the bounds on its either side
+    sizes = sorted((r.part, r.n) for r in ends.groupBy("part").agg(F.first("n").alias("n")).collect())
+    seam, places = 0, []
+    for k, (part, n) in enumerate(sizes):
+        if k:
+            places.append((part, False, seam))
+        if n >= REGION:
+            seam += 1
+        places.append((part, True, seam))
+    where = spark.createDataFrame(places, "part int, last boolean, seam int")
+    met = ends.join(F.broadcast(where), ["part", "last"]).select("seam", "label", "node", "sketch").distinct()
+    outer = met.repartition(ranges, "seam").sortWithinPartitions("seam", "label", "node").mapInArrow(_across(least), "u long, v long")
+    return inner.unionByName(outer)
 
 
 def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -319,6 +377,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest doc_id of each component.
+
+    Of rows that have words and are equal in doc_id (or have none) and text, one stays: that of the
+    smallest other columns. Rows without a doc_id are linked with nothing else.
+    """
+    gone = materialize(near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    hashed = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_k2")]
+    filled = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
+    twice = materialize(docs.where(filled).select(*hashed).groupBy("_k1", "_k2").agg(F.count("*").alias("n")).where("n > 1").select("_k1", "_k2"), "twice")
+    kept = attach(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    flagged = attach(kept.select("*", *hashed), twice.withColumn("_twice", F.lit(True)), ["_k1", "_k2"], "left")
+    again = F.coalesce(F.col("_twice") & filled, F.lit(False))
+    one = flagged.where(again).groupBy("_k1", "_k2").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return flagged.where(~again).select(*docs.columns).unionByName(one)
+
+
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
     """Links on 4-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)

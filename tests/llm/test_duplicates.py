@@ -59,6 +59,43 @@ def test_crowded_regions_keep_links(spark, monkeypatch):
     check(spark, [(k, t, "en", "s", 0, "x", 1) for k, t in enumerate(copies(9, 80, words=200, edits=4))], 5, 80)
 
 
+def test_links_across_the_bounds_of_many_ranges(spark, monkeypatch):
+    # 64 ranges of some 50 labels: most neighbourhoods cross a bound
+    monkeypatch.setattr(op7_neardup, "RANGE_LABELS", 1)
+    monkeypatch.setattr(op7_neardup, "CHUNK", 7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        texts = [t for s in range(40) for t in copies(500 + s, 3, words=80, edits=4)]
+        check(spark, [(k, t, "en", "s", 0, "x", 1) for k, t in enumerate(texts)], 4, 80)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_links_in_a_crowd_that_shares_a_label(spark):
+    # a third of all documents have most of their words in common, and so many equal MinHash values, but few are linked
+    rng = random.Random(12)
+    frame = h.prose(600, 150).split()
+    crowd = []
+    for k in range(150):
+        w = list(frame)
+        for i in rng.sample(range(150), 12):
+            w[i] = f"c{k}w{i}"
+        crowd.append(w)
+    twins = [[*w[:75], f"t{k}", *w[76:]] for k, w in enumerate(crowd[:30])]
+    texts = [" ".join(w) for w in crowd + twins] + [h.prose(7000 + k, 60) for k in range(300)]
+    check(spark, [(k, t, "en", "s", 0, "x", 1) for k, t in enumerate(texts)], 4, 80)
+
+
+def test_keep_first_keeps_one_of_equal_rows(spark):
+    rows = [(1, h.prose(1, 50), "en", "a", 1, "x", 1), (1, h.prose(1, 50), "en", "b", 1, "x", 1), (2, h.prose(1, 50) + " end", "en", "a", 1, "x", 1), (None, h.prose(2, 50), "en", "a", 1, "x", 1), (None, h.prose(2, 50), "en", "a", 1, "x", 1)]
+    rows += [(3, None, None, None, None, None, None)] * 2 + [(None, "", "en", "a", 0, "x", 1)] * 2 + [(5, h.prose(3, 50), "en", "a", 1, "x", 1), (5, h.prose(4, 50), "en", "a", 1, "x", 1)]
+    got = op7_neardup.keep_first(h.frame(spark, rows))
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, [rows[0], rows[3], *rows[5:]]))
+    assert op7_neardup.keep_first(h.frame(spark, [])).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op7_neardup.near_duplicates(h.frame(spark, [])).count() == 0
     got = op7_neardup.near_duplicates(h.frame(spark, [(3, None, None, None, None, None, None), (2, "", None, None, None, None, None)])).collect()
@@ -82,6 +119,41 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     assert suffix(spark, rows) == sorted(h.removed([r[:2] for r in rows]), key=repr)
 
 
+def test_equal_contents_without_ids(spark):
+    # unique texts stay whole however many rows have no doc_id; equal ones go, extra columns stay
+    rows = [(None, h.prose(k, 45), "en", f"s{k}", k, "x", 1) for k in range(600)] + [(None, h.prose(9000, 60), "en", "s", 1, "x", 1)] * 3
+    got = op5_suffix.remove_repeats(h.frame(spark, rows)).collect()
+    assert len(got) == 603 and all((r.n_removed > 0) == (r.n_bytes > 200 and r.kept == "") for r in got)
+    assert sum(r.n_removed > 0 for r in got) == 3 and {r.source for r in got} == {r[3] for r in rows}
+
+
+def test_prefixes_decide(spark, monkeypatch):
+    # contents that one hash stands for aren't repeats of each other: bytes are compared
+    import numpy as np
+
+    whole = op5_suffix.segments
+
+    def constant(data, offsets, length=200):
+        doc, first, last, p, g, h_ = whole(data, offsets, length)
+        return doc, first, last, p, np.zeros_like(g) + np.uint64(5), h_
+
+    monkeypatch.setattr(op5_suffix, "segments", constant)
+    monkeypatch.setattr(op5_suffix, "CROWD", 10**6)
+    local = [(k, t, "en", "s", 0, "x", 1) for k, t in enumerate(copies(21, 5, words=90) + [h.prose(300 + k, 50) for k in range(5)])]
+    texts = [(t or "").encode() for _, t, *_ in local]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    doc, first, last, p, g, hh = constant(data, offsets)
+    held = sorted((int(a).to_bytes(8, "big") + data[q : z + 200].tobytes() + data[f:q].tobytes(), int(q - f), int(c.view(np.int64)), int(d), int(f - offsets[d])) for a, q, z, f, c, d in zip(g, p, last, first, hh, doc, strict=True))
+    keys = [x[0] for x in held]
+    common = np.array([0, *(op5_suffix._common(a, b, 0) for a, b in zip(keys, keys[1:], strict=False))])
+    hit = op5_suffix._repeated_windows(keys, common, np.array([x[1] for x in held]), 200)
+    gone = [bytearray(len(t)) for t in texts]
+    for row, (_, _, _, d, at) in zip(hit, held, strict=True):
+        for w in np.flatnonzero(row):
+            gone[d][at + w : at + w + 200] = b"\1" * 200
+    assert [sum(x) for x in gone] == [r[2] for r in h.removed([r[:2] for r in local])]
+
+
 def test_other_lengths_and_empty_table(spark):
     rows = [(k, t, "en", "s", 0, "x", 1) for k, t in enumerate(copies(4, 4, words=60) + [h.prose(77, 30)])]
     assert suffix(spark, rows, 100) == sorted(h.removed([r[:2] for r in rows], 100), key=repr)
