@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,24 +239,49 @@ def _greedy_ranges(cells: np.ndarray, size: np.ndarray, limit: int, most: int) -
 
 
 def balanced_cuts(edges: DataFrame, n: int, most: int, align: int = ALIGN) -> tuple[Cuts, int]:
-    """Symmetric cuts into at most ``most`` ranges with the smallest cell workload, and that limit."""
-    while -(-n // align) > MATRIX_CHUNKS:
-        align *= 2
-    k = -(-n // align)
+    """Symmetric cuts into at most ``most`` ranges with the smallest cell workload, and that limit.
+
+    The driver holds a matrix of at most about 2 * MATRIX_CHUNKS chunks. Where that makes chunks wider than
+    ``align``, the chunks on either side of each cut are divided and the search goes on, until cuts
+    lie on multiples of ``align`` (each the best within the chunks that the pass before left open).
+    """
+    step = align
+    while -(-n // step) > MATRIX_CHUNKS:
+        step *= 2
+    points = np.minimum(np.arange(-(-n // step) + 1) * step, n)
+    while True:
+        cuts, limit = _searched(edges, points, most)
+        if step == align:
+            return cuts, limit
+        finer = max(align, step // max(2, MATRIX_CHUNKS // (2 * len(cuts)) // 2 * 2))
+        finer = align * (1 << ((finer // align).bit_length() - 1))
+        near = [np.arange(max(c - step, 0), min(c + step, n), finer) for c in cuts[1:-1]]
+        points, step = np.unique(np.concatenate([np.array([0, n]), np.arange(0, n, step)[:: max(1, -(-n // step) // MATRIX_CHUNKS)], *near, cuts])), finer
+
+
+def _searched(edges: DataFrame, points: np.ndarray, most: int) -> tuple[Cuts, int]:
+    """The best cuts at the given points (0 ... n, ascending), and the largest cell."""
+    k, n = len(points) - 1, int(points[-1])
+
+    def count(batches):
+        for batch in batches:
+            i, j = (np.searchsorted(points, batch.column(c).to_numpy(), "right") - 1 for c in (0, 1))
+            at, seen = np.unique(i * k + j, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(seen)], names=["i", "j", "n"])
+
+    got = edges.select("src", "dst").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros((k + 1, k + 1), np.int64)
-    i, j, counts = _counted(edges, _chunk("src", align), _chunk("dst", align))
-    matrix[i + 1, j + 1] = counts
+    matrix[got.column("i").to_numpy() + 1, got.column("j").to_numpy() + 1] = got.column("n").to_numpy()
     cells = matrix.cumsum(0).cumsum(1)
-    size = np.minimum(np.arange(k + 1) * align, n)
     low, high = 0, int(cells[-1, -1]) + 2 * VERTEX_WEIGHT * n
     while low < high:
         mid = (low + high) // 2
-        if _greedy_ranges(cells, size, mid, most) is None:
+        if _greedy_ranges(cells, points, mid, most) is None:
             low = mid + 1
         else:
             high = mid
-    cuts = _greedy_ranges(cells, size, high, most) or [0]
-    return [int(size[c]) for c in cuts], high
+    cuts = _greedy_ranges(cells, points, high, most) or [0]
+    return [int(points[c]) for c in cuts], high
 
 
 def checkerboard_cells(edges: DataFrame, parts: int, n: int | None = None, align: int = ALIGN) -> DataFrame:

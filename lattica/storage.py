@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it isn't installed. The driver serves the archive until it ends."""
+    package, folder = Path(__file__).resolve().parent, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}/graph/{tag}-{uuid.uuid4().hex}"
 

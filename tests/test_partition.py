@@ -138,7 +138,8 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '4').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()
 e = spark.read.parquet(sys.argv[1])
 from lattica.operators import partition as part, stats
-from lattica import sinks
+from lattica import sinks, storage
+storage.ship(spark)
 blocks = part.naive(e, 4, 300)
 assert sum(r.edges for r in stats.block_edges(e, blocks).collect()) == 4000
 assert stats.pair_gain(e, blocks).count() and stats.communication_report(e, blocks).first().total
@@ -158,6 +159,16 @@ def test_the_edge_table_may_be_the_first_frame_of_a_session(edges, tmp_path):
     subprocess.run([sys.executable, "-B", "-c", FRESH, f"{tmp_path}/e", f"{tmp_path}/out"], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=300)
 
 
+def test_cuts_lie_on_fine_multiples_however_many_vertices(spark, monkeypatch):
+    rng = random.Random(2)
+    e = spark.createDataFrame([(rng.randrange(3000), int(3000 * rng.random() ** 2)) for _ in range(20000)], "src long, dst long").cache()
+    whole = part.balanced_cuts(e, 3000, 4, 16)
+    monkeypatch.setattr(part, "MATRIX_CHUNKS", 16)
+    cuts, limit = part.balanced_cuts(e, 3000, 4, 16)
+    assert all(c % 16 == 0 for c in cuts[:-1]) and limit <= 1.05 * whole[1]
+    assert any(c % 256 for c in cuts[1:-1])
+
+
 def test_a_block_above_the_limit_is_refused(spark):
     e = spark.createDataFrame([(0, 0)] * 900 + [(70, 70), (130, 0)], "src long, dst long")
     with pytest.raises(ValueError, match="alone"):
