@@ -7,27 +7,35 @@ the sort is sparse: every window of ``length`` bytes is represented by its small
 at equal offsets, so only suffixes at anchors need to be brought together. The
 windows of one anchor in one document are a segment.
 
-1. Segments' anchor hashes are counted; segments whose anchor occurs once are done.
-2. The others are listed by document and counted by content. Content that occurs
-   twice is repeated as a whole.
-3. Of anchors with different contents (a passage's edges, edited copies) one place of
-   each content goes through the sort: each task sorts its rotated segments (from the anchor to the end, then what
-   is before the anchor), front-codes the run (common prefix with the one before, and
-   the rest) and sends it, cut by ranges of the order; each range merges its runs with
-   a loser tree that keeps the common prefix of each run's head with the last winner,
-   and compares bytes only beyond it. Neighbours that share the anchor's 16 bytes form
-   a group, in which windows are matched.
+1. One scan lists the segments: anchor hash, content hash, place. Segments whose anchor
+   occurs once are done. Of each content among the others two places, the smallest
+   and the largest, go through the sort (a single place, if there is but one).
+2. Each task sorts its rotated segments (from the anchor to the end, then what is before
+   the anchor), front-codes the run (common prefix with the one before, and the rest)
+   and sends it, cut by ranges of the order; each range merges its runs with a loser
+   tree that keeps the common prefix of each run's head with the last winner, and
+   compares bytes only beyond it.
+3. The prefixes decide. Equal records make a content repeated as a whole. Neighbours that
+   share the anchor's 16 bytes form a group; its second order, by the bytes before the
+   anchor, read backwards, gives the common lengths on the other side. A window that
+   begins ``a`` bytes before the anchor is repeated if another record lies both in its
+   run of common prefixes of ``length - a`` bytes and in its run of ``a`` common bytes
+   before the anchor. No pair is looked at.
 4. An anchor with more than CROWD contents would make a group without a bound. Its
    windows are matched by counts over the cluster instead, in blocks of windows:
    blocks whose bytes occur twice are repeated as a whole, blocks whose common bytes
    occur in one content only are not, and the others go on in smaller blocks.
 
-Window matches inside a group are by 64-bit hashes within equal anchors; content is
-identified by 128 bits (anchor hash and content hash).
+Hashes bring candidates together (128 bits stand for a content, so that its other copies
+share what the two that were sorted have shown); only for crowded anchors do hashes of
+anchor and bytes decide. Rows are known by doc_id and 128 bits of their text, so that rows without an
+id, or with the same one, stay apart unless they are equal.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` keep
 all; a document whose bytes all go keeps the empty string; equal rows are repeats of
-each other; an empty table gives an empty result; extra columns are ignored.
+each other, also without a doc_id; a very long text is one document like others (a task
+holds it and some 100 bytes for each of its bytes); an empty table gives an empty result;
+extra columns are carried and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as b
-from .common import groups, materialize, release, steps, table
+from .common import discard, groups, materialize, release, steps, table
 
 LENGTH = 200
 GRAM = 16
@@ -51,11 +59,8 @@ CROWD = 1000
 LARGEST_BLOCK = 32
 #: Anchors of one range of the order, about.
 RANGE_ANCHORS = 4000
-#: The filter of repeated anchors has at most 2**FILTER_BITS bits; beyond that it lets more through, which only costs time.
-FILTER_BITS = 28
-_HELD = 1 << 20
-#: Records of one run.
-RUN_RECORDS = 40_000
+#: Records of one run, and of groups that are matched in one go.
+RUN_RECORDS, MATCH_RECORDS = 20_000, 20_000
 
 
 def _doubled(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
@@ -78,17 +83,12 @@ def _level(length: int) -> int:
     return 1 << (length.bit_length() - 1)
 
 
-def _windows(h: np.ndarray, starts: np.ndarray, level: int, length: int) -> np.ndarray:
-    """Hashes of the strings of ``length`` bytes at ``starts``; h: hashes of ``level`` bytes."""
-    return b.mix(h[starts] + b.mix(h[starts + (length - level)] ^ np.uint64(0x9E3779B97F4A7C15)))
-
-
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     """Segments of a slice: document, first and last window start, anchor, anchor hash, content hash."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     level = _level(length)
     doubled = _doubled(data, level)
     gram = b.mix(doubled[GRAM])
@@ -106,7 +106,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     counts = room[docs]
     total = int(counts.sum())
     if not total:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
     starts = np.arange(total) + np.repeat(offsets[:-1][docs] - begin, counts)
     anchor = (low - (least[starts] & low)).astype(np.int64)
@@ -121,99 +121,40 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     middle = np.minimum(first + level, end - level)
     content = b.mix(b.mix(h[first] + b.mix(h[middle])) + b.mix(h[end - level] ^ np.uint64(0xABCDEF)) + ((end - first) * 1024 + (p - first)).astype(np.uint64))
     # smallest hashes crowd near zero: mixed again, they spread over ranges and filters
-    return doc, first, last, p, b.mix(gram[p] + np.uint64(1)), content, h
-
-
-def _xxhash64(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of long columns (the public algorithm on 8 bytes, each column seeded by the one before)."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = np.full(len(columns[0]), 42, np.uint64)
-    for c in columns:
-        h = h + p5 + np.uint64(8)
-        h ^= turn(c.astype(np.int64).view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        h ^= h >> np.uint64(32)
-    return h
-
-
-class Filter:
-    """A set of hashes as a bitmap; it may let others through."""
-
-    def __init__(self, bits: int):
-        self.bits, self.map = bits, np.zeros(1 << (bits - 3), np.uint8)
-
-    def has(self, g: np.ndarray) -> np.ndarray:
-        at = g >> np.uint64(64 - self.bits)
-        return (self.map[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-    @classmethod
-    def of(cls, hashes: DataFrame, count: int) -> Filter:
-        """The bitmap is made on the cluster in pieces of 4 KB; only it comes to the driver."""
-        out = cls(min(FILTER_BITS, max(18, (16 * count).bit_length())))
-        spot = hashes.select(F.shiftrightunsigned(hashes.columns[0], 64 - out.bits).alias("s"))
-        pieces = spot.groupBy(F.floor(F.col("s") / 32768).alias("k")).agg(F.bitmap_construct_agg((F.col("s") % 32768)).alias("m"))
-        got = pieces.toArrow()
-        for k, m in zip(got.column("k").to_pylist(), got.column("m").to_pylist(), strict=True):
-            out.map[k * 4096 : k * 4096 + len(m)] = np.frombuffer(m, np.uint8)
-        return out
+    return doc, first, last, p, b.mix(gram[p] + np.uint64(1)), content
 
 
-def _int(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
-
-
-def _anchors(length: int):
-    def run(batches):
-        held, size = [], 0
+_KEY = ["id", "k1", "k2"]
 
-        def flush():
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_int(np.concatenate((g, g[n > 1])))], names=["g"])
-
-        for batch in batches:
-            for _, data, offsets in steps(batch):
-                held.append(segments(data, offsets, length)[4])
-                size += len(held[-1])
-                if size > _HELD:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    return run
 
-
-def _placed(part, data, offsets, length: int):
-    """Segments of a slice as document id, anchor hash, content hash, place; and segments() itself.
-
-    A place is first window start << 32 | windows - 1 << 24 | 24 bits of the text's hash,
-    which keep rows apart that share an id.
-    """
-    found = segments(data, offsets, length)
-    doc, first, last, _, g, h, _ = found
-    ids, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
-    return ids[doc], g, h, (first - offsets[doc]) << 32 | (last - first) << 24 | tags[doc], found
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _places(length: int, twice):
-    """Where segments with repeated anchors are."""
+def _scan(length: int):
+    """Segments: row, anchor hash, content hash, place (first window start << 16 | windows - 1 << 8 | anchor offset)."""
 
     def run(batches):
-        known = twice.value
         for batch in batches:
             for part, data, offsets in steps(batch):
-                ids, g, h, place, _ = _placed(part, data, offsets, length)
-                ok = known.has(g)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), _int(g[ok]), _int(h[ok]), pa.array(place[ok])], names=["id", "g", "h", "place"])
+                doc, first, last, p, g, h = segments(data, offsets, length)
+                place = (first - offsets[doc]) << 16 | (last - first) << 8 | (p - first)
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in _KEY), _int(g), _int(h), pa.array(place)], names=[*_KEY, "g", "h", "place"])
 
     return run
 
 
+def _picked(batches, fields: tuple[str, ...]):
+    """From texts with their picked segments: all bytes, and by pick where its text begins, its place and the fields."""
+    for batch in batches:
+        for part, data, offsets in steps(batch):
+            lists = part.column("picks")
+            flat = lists.flatten()
+            own = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
+            yield data, own, *(flat.field(c).to_numpy() for c in ("place", *fields))
+
+
 # -- runs: records of an order, front-coded -----------------------------------------------
 
 
@@ -320,40 +261,40 @@ def merge_runs(runs):
             node //= 2
 
 
-def _runs(length: int, chosen, crowded, range_bits: int):
-    """Front-coded runs by range of the order, of the segments at chosen places whose anchors have no crowd."""
+def _runs(length: int, range_bits: int, crowd_bits: int):
+    """Front-coded runs, by range of the order, of the picked segments; those of crowded anchors by content (cut < 0)."""
 
     def run(batches):
-        known, crowd = chosen.value, crowded.value
-        held: dict[tuple[int, int], list] = {}
+        held: list[tuple[bytes, int, int, int]] = []
 
         def flush():
-            order = sorted((int(g).to_bytes(8, "big") + text, h, n, left) for (g, h), (text, n, left) in held.items())
+            held.sort()
+            keys, marks, cuts = [], [], []
+            for key, left, h, n in held:
+                if keys and key == keys[-1] and left == marks[-1][2]:
+                    marks[-1][1] = 2
+                else:
+                    keys.append(key)
+                    marks.append([h, min(max(n, 1), 2), left])
+                    cuts.append(-1 - ((h >> 16) & ((1 << crowd_bits) - 1)) if n else int.from_bytes(key[:8], "big") >> (64 - range_bits))
             held.clear()
-            cut = [int.from_bytes(x[0][:8], "big") >> (64 - range_bits) for x in order]
-            i = 0
-            while i < len(order):
-                j = i
-                while j < len(order) and cut[j] == cut[i]:
-                    j += 1
-                coded = encode_run([x[0] for x in order[i:j]], [(x[1], min(x[2], 2), x[3]) for x in order[i:j]])
-                yield pa.RecordBatch.from_arrays([pa.array([cut[i]]), pa.array([coded])], names=["cut", "run"])
-                i = j
-
-        for batch in batches:
-            for part, data, offsets in steps(batch):
-                ids, g, h, place, (_, first, last, p, _, _, _) = _placed(part, data, offsets, length)
-                raw = data.tobytes()
-                for i in np.flatnonzero(known.has(_xxhash64(ids, place)) & ~np.isin(g, crowd)):
-                    key = (int(g[i]), int(h[i].view(np.int64)))
-                    if key in held:
-                        held[key][1] += 1
-                    else:
-                        held[key] = [raw[p[i] : last[i] + length] + raw[first[i] : p[i]], 1, int(p[i] - first[i])]
-                if len(held) > RUN_RECORDS:
-                    yield from flush()
+            cuts = np.array(cuts, np.int64)
+            order = np.argsort(cuts, kind="stable")
+            bounds = [0, *(np.flatnonzero(np.diff(cuts[order])) + 1).tolist(), len(cuts)]
+            coded = [encode_run([keys[k] for k in order[i:j]], [marks[k] for k in order[i:j]]) for i, j in zip(bounds, bounds[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(cuts[order][bounds[:-1]]), pa.array(coded, pa.binary())], names=["cut", "run"])
+
+        for data, own, place, g, h, n in _picked(batches, ("g", "h", "n")):
+            raw = data.tobytes()
+            first = own + (place >> 16)
+            p, end = first + (place & 255), first + (place >> 8 & 255) + length
+            head = g.astype(">i8").tobytes()
+            for i, (f, q, e, c, k) in enumerate(zip(first.tolist(), p.tolist(), end.tolist(), h.tolist(), n.tolist(), strict=True)):
+                held.append((head[8 * i : 8 * i + 8] + raw[q:e] + raw[f:q], q - f, c, k))
+            if len(held) > RUN_RECORDS:
+                yield flush()
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -373,56 +314,29 @@ def _hash_of(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, level: int) -
 _BLOCK = "struct<core:bigint,whole:bigint,lo:bigint,hi:bigint>"
 
 
-def _crowd_blocks(length: int, crowded):
-    """Blocks, by level, of segments whose anchors are crowded; each content once a partition, with its number there.
+def _crowd_blocks(key: bytes, left: int, length: int) -> list[list[dict]]:
+    """Blocks, by level, of a record of a crowded anchor.
 
     A block holds the windows at offsets k * size ... (k + 1) * size - 1 from the anchor, as far as
     the segment has them (lo to hi, counted from its first). ``core`` stands for k and the bytes that all
     windows at those offsets have in common, ``whole`` for the bytes of all windows of the block.
     """
-    level, sizes = _level(length), _levels(length)
-
-    def blocks(h, first: int, last: int, p: int, size: int) -> list[dict]:
-        k = np.arange((p - last) // size, (p - first) // size + 1)
-        high, low = np.minimum(k * size + size - 1, p - first), np.maximum(k * size, p - last)
-        core = b.mix(_hash_of(h, p - k * size, np.full(len(k), length - size + 1), level) + k.astype(np.uint64))
-        whole = b.mix(_hash_of(h, p - high, length + high - low, level) + (low * 1024 + high).astype(np.uint64)) if size > 1 else core
-        return [{"core": c, "whole": w, "lo": x, "hi": y} for c, w, x, y in zip(core.view(np.int64).tolist(), whole.view(np.int64).tolist(), (p - high - first).tolist(), (p - low - first).tolist(), strict=True)]
-
-    def run(batches):
-        crowd = crowded.value
-        held: dict[tuple[int, int], list] = {}
-        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("core", "whole", "lo", "hi")]))
-
-        def flush():
-            rows = [(g, h, n, *levels) for (g, h), (n, levels) in held.items()]
-            held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), *(kind for _ in sizes))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["g", "h", "n", *(f"b{x}" for x in sizes)])
-
-        for batch in batches:
-            for _, data, offsets in steps(batch):
-                _, first, last, p, g, h, doubled = segments(data, offsets, length)
-                for i in np.flatnonzero(np.isin(g, crowd)):
-                    key = (int(g[i].view(np.int64)), int(h[i].view(np.int64)))
-                    if key in held:
-                        held[key][0] += 1
-                    else:
-                        held[key] = [1, [blocks(doubled, int(first[i]), int(last[i]), int(p[i]), x) for x in sizes]]
-                if len(held) > RUN_RECORDS // 10:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return run
+    level = _level(length)
+    text = np.frombuffer(key[len(key) - left :] + key[8 : len(key) - left], np.uint8)
+    h, last = _doubled(text, level)[level], len(text) - length
+    out = []
+    for size in _levels(length):
+        k = np.arange((left - last) // size, left // size + 1)
+        high, low = np.minimum(k * size + size - 1, left), np.maximum(k * size, left - last)
+        core = b.mix(_hash_of(h, left - k * size, np.full(len(k), length - size + 1), level) + k.astype(np.uint64))
+        whole = b.mix(_hash_of(h, left - high, length + high - low, level) + (low * 1024 + high).astype(np.uint64)) if size > 1 else core
+        out.append([{"core": c, "whole": w, "lo": x, "hi": y} for c, w, x, y in zip(core.view(np.int64).tolist(), whole.view(np.int64).tolist(), (left - high).tolist(), (left - low).tolist(), strict=True)])
+    return out
 
 
-def _crowd_matches(docs: DataFrame, length: int, crowded) -> DataFrame:
-    """g, h, a, z of the repeated windows of contents that occur once at crowded anchors."""
+def _crowd_matches(each: DataFrame, length: int) -> DataFrame:
+    """g, h, a, z of the repeated windows of contents that occur once at crowded anchors. each: g, h, n and blocks by level."""
     sizes = _levels(length)
-    schema = "g long, h long, n long, " + ", ".join(f"b{x} array<{_BLOCK}>" for x in sizes)
-    found = docs.select("text").mapInArrow(_crowd_blocks(length, crowded), schema)
-    each = materialize(found.groupBy("g", "h").agg(F.sum("n").alias("n"), *[F.first(f"b{x}").alias(f"b{x}") for x in sizes]), "crowd")
     items = each.select("g", "h", "n", F.explode(f"b{sizes[0]}").alias("b")).select("g", "h", "n", "b.*")
     hits = []
     for k in range(len(sizes)):
@@ -444,93 +358,146 @@ def _crowd_matches(docs: DataFrame, length: int, crowded) -> DataFrame:
     return spans.select("g", "h", F.transform("s", lambda x: x["lo"]).alias("a"), F.transform("s", lambda x: x["hi"]).alias("z"))
 
 
+def _repeated_windows(keys: list[bytes], common: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """records x windows (counted from the segment's first): True where another record has the window's bytes.
+
+    Records in their order, with the common prefix with the one before; a group begins
+    where that is shorter than the anchor's key.
+    """
+    n = len(keys)
+    right = np.array([len(k) for k in keys]) - 8 - left
+    ahead = common - 8
+    group = np.cumsum(common < 8 + GRAM)
+    # the second order: the bytes before the anchor, backwards
+    back = [k[len(k) - x :][::-1] if x else b"" for k, x in zip(keys, left.tolist(), strict=True)]
+    order = sorted(range(n), key=lambda i: (group[i], back[i]))
+    behind = np.full(n, -1)
+    for x, (i, j) in enumerate(zip(order, order[1:], strict=False)):
+        if group[i] == group[j]:
+            behind[x + 1] = _common(back[i], back[j], 0)
+    order = np.array(order)
+    hit = np.zeros((n, length - GRAM + 2), bool)
+    place = np.empty(n, np.int64)
+    for a in range(length - GRAM + 1):
+        some = np.flatnonzero((left >= a) & (right >= length - a))
+        if len(some) > 1:
+            place[order] = np.cumsum(behind < a)
+            both = np.cumsum(ahead < length - a)[some] * (n + 1) + place[some]
+            again = some[b.repeated(both)]
+            hit[again, left[again] - a] = True
+    return hit
+
+
+def _matched(length: int) -> str:
+    """What the merge gives: of a content its repeated windows (null: all), or if n isn't null its number and blocks."""
+    return "g long, h long, a array<long>, z array<long>, n long, " + ", ".join(f"b{x} array<{_BLOCK}>" for x in _levels(length))
+
+
 def _match(length: int):
-    """Merges the runs of each range; which windows of contents that occur once are repeated."""
-
-    def group(keys: list, out: list) -> None:
-        # the group's segments, turned back: (text, content hash, count)
-        texts = [k[len(k) - left :] + k[8 : len(k) - left] for k, _, _, left in keys]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        bounds = np.cumsum([0, *map(len, texts)])
-        level = _level(length)
-        h = _doubled(data, level)[level]
-        room = np.diff(bounds) - length + 1
-        begin = np.concatenate(([0], np.cumsum(room)[:-1]))
-        of = np.repeat(np.arange(len(texts)), room)
-        starts = np.arange(int(room.sum())) - begin[of] + bounds[:-1][of]
-        w = _windows(h, starts, level, length)
-        times = np.array([c for _, _, c, _ in keys])[of]
-        _, inverse = np.unique(w, return_inverse=True)
-        hit = np.bincount(inverse, weights=times)[inverse] >= 2
-        for i, (key, content, count, _) in enumerate(keys):
-            if count < 2:
-                own = hit[begin[i] : begin[i] + room[i]]
-                if own.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
-                    out.append((int.from_bytes(key[:8], "big"), content, edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+    """Merges the runs of each range: contents that are repeated as a whole (a, z null), repeated windows of others, blocks of crowded ones."""
+    block = pa.list_(pa.struct([(c, pa.int64()) for c in ("core", "whole", "lo", "hi")]))
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), *(block for _ in _levels(length))]
+    names = [x.split()[0] for x in _matched(length).split(", ")]
+
+    def batch(g, h, **more):
+        columns = {"g": pa.array(g, pa.int64()), "h": pa.array(h, pa.int64()), **more}
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(columns["g"]), t)) for c, t in zip(names, kinds, strict=True)], names=names)
+
+    def crowd(records: list):
+        blocks = [_crowd_blocks(r[1], r[4], length) for r in records]
+        more = {f"b{x}": pa.array([r[k] for r in blocks], block) for k, x in enumerate(_levels(length))}
+        return batch([int.from_bytes(r[1][:8], "big", signed=True) for r in records], [r[2] for r in records], n=pa.array([r[3] for r in records], pa.int64()), **more)
+
+    def verdicts(records: list):
+        """records: [common, key, content, count, left] of whole groups."""
+        common, content, count, left = (np.array([r[k] for r in records], np.int64) for k in (0, 2, 3, 4))
+        keys = [r[1] for r in records]
+        first = common < 8 + GRAM
+        alone = first & np.append(first[1:], True)
+        own = np.flatnonzero(~alone)
+        starts = np.zeros(0, np.int64)
+        if len(own):
+            hit = _repeated_windows([keys[i] for i in own], common[own], left[own], length)
+            hit[count[own] > 1] = False
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.ravel().view(np.int8)))))
+            width = hit.shape[1]
+            row, starts, ends = own[edge[::2] // width], edge[::2] % width, edge[1::2] % width - 1
+        g = np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64)
+        whole = np.flatnonzero(count > 1)
+        yield batch(g[whole], content[whole])
+        if len(starts):
+            at = np.flatnonzero(np.diff(row, prepend=-1))
+            bounds = np.append(at, len(row)).astype(np.int32)
+            yield batch(g[row[at]], content[row[at]], **{c: pa.ListArray.from_arrays(bounds, pa.array(x)) for c, x in (("a", starts), ("z", ends))})
 
     def run(batches):
-        for _, rows in groups(batches, ["cut"]):
-            out, now = [], []
+        for (cut,), rows in groups(batches, ["cut"]):
+            now: list = []
             for common, key, content, count, left in merge_runs([decode_run(r) for r in rows.column("run").to_pylist()]):
-                if now and common < 8 + GRAM:
-                    if len(now) > 1:
-                        group(now, out)
+                if now and common == len(key) == len(now[-1][1]) and left == now[-1][4]:
+                    now[-1][3] += count
+                    continue
+                if cut < 0 and len(now) >= 2000:
+                    yield crowd(now)
                     now = []
-                if now and common == len(key) == len(now[-1][0]) and left == now[-1][3]:
-                    now[-1][2] += count
-                else:
-                    now.append([key, content, count, left])
-            if len(now) > 1:
-                group(now, out)
-            for i in range(0, len(out), 1 << 14):
-                x = out[i : i + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([_int(np.array([r[0] for r in x], np.uint64)), pa.array([r[1] for r in x], pa.int64()), pa.array([r[2] for r in x], pa.list_(pa.int64())), pa.array([r[3] for r in x], pa.list_(pa.int64()))], names=["g", "h", "a", "z"])
+                elif common < 8 + GRAM and len(now) > MATCH_RECORDS:
+                    yield from verdicts(now)
+                    now = []
+                now.append([common, key, content, count, left])
+            if now and cut < 0:
+                yield crowd(now)
+            elif now:
+                yield from verdicts(now)
 
     return run
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, tag, first (of the segment), a, z: windows of the segment, from a to z, that are repeated; null: all.
+    """id, k1, k2 (the row), place (of the segment), a, z: windows of the segment, from a to z, that are repeated; null: all.
 
-    docs: id, tag, text.
+    docs: id, k1, k2, text.
     """
     if length < 2 * GRAM or length - GRAM > 255 or 2 * length - GRAM > 3 * _level(length):
         raise ValueError(f"strings of {length} bytes aren't supported (100 and 200 are)")
     spark = docs.sparkSession
-    sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    twice = materialize(docs.select("text").mapInArrow(_anchors(length), "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
-    seen = sc.broadcast(Filter.of(twice, twice.count()))
-    places = materialize(docs.mapInArrow(_places(length, seen), "id long, g long, h long, place long"), "places")
-    contents = materialize(places.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(F.xxhash64("id", "place")).alias("one")), "contents")
-    several = materialize(contents.groupBy("g").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    kinds = "id long, k1 long, k2 long, g long, h long, place long"
+    segments = materialize(docs.mapInArrow(_scan(length), kinds), "segments")
+    # tables of their own on the narrow sides: a join of two exchanges is dealt anew where a key is hot
+    twice = materialize(segments.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "twice")
+    found = materialize(segments.join(twice, "g", "left_semi"), "places")
+    discard(segments, twice)
+    at = F.struct("k1", "k2", "id", "place")
+    contents = materialize(found.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")), "contents")
+    variants = materialize(contents.groupBy("g").agg(F.count("*").alias("variants")), "variants")
     release(spark)
-    n = several.count()
-    none = F.lit(None).cast("array<long>")
-    verdicts = contents.where("n > 1").select("g", "h", none.alias("a"), none.alias("z"))
-    if n:
-        # at most one anchor in CROWD contents is crowded
-        crowd = several.where(F.col("variants") > CROWD).select("g").toArrow().column("g").to_numpy().view(np.uint64)
-        ones = materialize(contents.join(several, "g", "left_semi").select("one"), "ones")
-        chosen, crowded = sc.broadcast(Filter.of(ones, ones.count())), sc.broadcast(np.sort(crowd))
-        range_bits = max(6, (n // RANGE_ANCHORS).bit_length())
-        sent = docs.mapInArrow(_runs(length, chosen, crowded, range_bits), "cut long, run binary")
-        partial = sent.repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), "g long, h long, a array<long>, z array<long>")
-        verdicts = verdicts.unionByName(materialize(partial, "matches"))
-        if len(crowd):
-            verdicts = verdicts.unionByName(_crowd_matches(docs, length, crowded))
-    verdicts = materialize(verdicts, "verdicts")
-    found = materialize(places.join(verdicts, ["g", "h"]).select("id", "place", "a", "z"), "found")
+    asked = contents.join(variants, "g").withColumn("crowded", F.col("variants") > CROWD)
+    sizes = variants.agg(F.count("*"), F.sum(F.when(F.col("variants") > CROWD, F.col("variants")))).first()
+    bits = [max(6, (x // RANGE_ANCHORS).bit_length()) for x in (sizes[0], sizes[1] or 0)]
+    # of a crowded anchor's contents one place each, with the number of all; of others two
+    one = F.when(F.col("crowded") | (F.col("low") == F.col("high")), F.array("low")).otherwise(F.array("low", "high"))
+    number = F.when(F.col("crowded"), F.col("n")).otherwise(0).alias("n")
+    picks = asked.select("g", "h", number, F.explode(one).alias("at")).groupBy("at.k1", "at.k2", "at.id").agg(F.collect_list(F.struct("at.place", "g", "h", "n")).alias("picks"))
+    texts = docs.join(picks, _KEY).select("text", "picks")
+    sent = texts.mapInArrow(_runs(length, *bits), "cut long, run binary")
+    matched = materialize(sent.repartition(parts, "cut").sortWithinPartitions("cut").mapInArrow(_match(length), _matched(length)), "matches")
     release(spark)
-    return found
+    verdicts = matched.where("n is null").select("g", "h", "a", "z")
+    if sizes[1]:
+        none = F.lit(None).cast("array<long>")
+        crowd = matched.where("n is not null").drop("a", "z")
+        verdicts = verdicts.unionByName(crowd.where("n > 1").select("g", "h", none.alias("a"), none.alias("z"))).unionByName(_crowd_matches(crowd, length))
+    verdicts = materialize(verdicts, "verdicts")
+    out = materialize(found.join(verdicts, ["g", "h"]).select(*_KEY, "place", "a", "z"), "repeats")
+    discard(found, contents, variants, matched, verdicts)
+    return out
 
 
 def _spans(places: list, length: int):
     """Byte spans (half open) that the repeated windows of a document cover, ascending and apart."""
     own = []
     for p in places or ():
-        first, more = p["place"] >> 32, p["place"] >> 24 & 255
+        first, more = p["place"] >> 16, p["place"] >> 8 & 255
         if p["a"] is None:
             own.append((first, first + more + length))
         else:
@@ -571,12 +538,12 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All columns of ``docs`` but text and those named here, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text)."""
     others = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
-    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 24))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tag.alias("tag"), "text")
-    found = repeats(named.select("id", "tag", "text"), length)
-    places = found.groupBy("id", F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("tag")).agg(F.collect_list(F.struct("place", "a", "z")).alias("places"))
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), "text")
+    found = repeats(named.select(*_KEY, "text"), length)
+    places = found.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "a", "z")).alias("places"))
     kind = dict(named.dtypes)["row"]
-    cut = named.join(places, ["id", "tag"], "left").select("row", "text", "places").mapInArrow(_cut(length), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = named.join(places, _KEY, "left").select("row", "text", "places").mapInArrow(_cut(length), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
