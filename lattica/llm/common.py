@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side that may be broadcast (16 bytes each, some 30 MB in memory).
-BROADCAST_ROWS = 500_000
+#: Bytes of a lookup side, at most, that is broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text one vectorised step works on (its 8-byte columns then stay near the CPU).
 STEP_BYTES = 1 << 18
 #: Documents one vectorised step works on.
@@ -88,8 +88,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def attach(docs: DataFrame, side: DataFrame, key: str | list[str] = "doc_id", how: str = "inner") -> DataFrame:
-    """Join a narrow ``side`` to wide ``docs``: broadcast up to BROADCAST_ROWS rows, else by shuffle."""
-    if side.count() <= BROADCAST_ROWS:
+    """Join a narrow ``side`` to wide ``docs``: broadcast up to BROADCAST_BYTES, else by shuffle."""
+    # a hashed row: 16 bytes, and its columns with 8 for numbers and 32 for strings
+    width = 16 + sum(32 if kind in ("string", "binary") else 8 for _, kind in side.dtypes)
+    if side.count() * width <= BROADCAST_BYTES:
         side = F.broadcast(side)
     return docs.join(side, key, how)
 
