@@ -529,9 +529,9 @@ def part_comm_report(spark, d):
     return stats.communication_report(e, part.cycle(e, 4)).withColumns({c: F.round(c, 6) for c in ("mean", "max_ratio", "min_ratio")})
 
 
-@query("WITH g AS (" + sql.grid(4, "i % 2 * 2 + j % 2") + "), f AS (SELECT owner, min(from_source * 1000000000 + from_dest) AS first FROM g GROUP BY owner), o AS (SELECT owner, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS new_owner FROM f) SELECT new_owner AS owner, from_source, to_source, from_dest, to_dest, edges FROM g JOIN o USING (owner)")
+@query("WITH g AS (" + sql.grid(4, "i % 2 * 2 + j % 2") + "), g2 AS (SELECT * FROM g WHERE from_source < to_source AND from_dest < to_dest), f AS (SELECT owner, min(from_source * 1000000000 + from_dest) AS first FROM g2 GROUP BY owner), o AS (SELECT owner, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS new_owner FROM f) SELECT new_owner AS owner, from_source, to_source, from_dest, to_dest, edges FROM g2 JOIN o USING (owner)")
 def part_normalized(spark, d):
-    blocks = part.cycle(copart(spark, d), 4)
+    blocks = part.cycle(copart(spark, d), 4).where("from_source < to_source and from_dest < to_dest")
     return part.normalize(blocks.withColumn("owner", (F.col("owner") * 7 + 3) % 11))
 
 
