@@ -44,7 +44,7 @@ def test_stages_take_effect(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     held = {}
     for name, stage in c.STAGES:
-        docs = materialize(stage(spark, docs, str(tmp_path)), name, "test")
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
         held[name] = docs
         if name != "packing":
             assert docs.columns == list(c.COLUMNS)
