@@ -13,9 +13,9 @@ and all ratios are 0; very long texts are counted and judged whole; a ratio equa
 threshold keeps the document; rows without a doc_id are judged and never trusted; extra
 columns of the input are ignored.
 
-The threshold is what a document of ordinary words may lose on words that the trusted
-documents happen not to have: on the test tables clean texts lie above -0.12, machine junk
-below -0.2.
+The threshold lies between the classes as measured at sf0.1, over documents that pass the base
+rules: of those labelled good 99.9 % have a ratio above -0.046, of those labelled bad 95 %
+one below -0.243.
 """
 
 from __future__ import annotations
