@@ -134,3 +134,10 @@ def test_hubs_get_their_values_by_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, algorithms.sssp(g, 0, direction="pull").values().collect())) == want["sssp"]
     got = sorted(map(tuple, algorithms.pagerank(g, 3).values().collect()))
     assert [x[0] for x in got] == [x[0] for x in want["pr"]] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want["pr"], strict=True))
+
+
+def test_sssp_goes_on_as_long_as_distances_change(spark):
+    rows = [(k, k + 1, 1) for k in range(40)] + [(0, k, 3 * k) for k in range(1, 41)]
+    run = algorithms.sssp(make(spark, rows, weight="column"), 0)
+    assert values(run) == oracles.sssp(rows, vertices(rows), 0) == {k: k for k in range(41)}
+    assert len(run.rounds) == 41
