@@ -141,3 +141,10 @@ def test_sssp_goes_on_as_long_as_distances_change(spark):
     run = algorithms.sssp(make(spark, rows, weight="column"), 0)
     assert values(run) == oracles.sssp(rows, vertices(rows), 0) == {k: k for k in range(41)}
     assert len(run.rounds) == 41
+
+
+def test_sssp_takes_a_cheaper_path_of_many_hops(spark):
+    # after 25 rounds vertex 30 still has the price of the direct edge
+    rows = [(k, k + 1, 0) for k in range(30)] + [(0, 30, 99), (30, 31, 1)]
+    got = values(algorithms.sssp(make(spark, rows, weight="column"), 0))
+    assert got == oracles.sssp(rows, vertices(rows), 0) and (got[30], got[31]) == (0, 1)
