@@ -148,3 +148,13 @@ def test_sssp_takes_a_cheaper_path_of_many_hops(spark):
     rows = [(k, k + 1, 0) for k in range(30)] + [(0, 30, 99), (30, 31, 1)]
     got = values(algorithms.sssp(make(spark, rows, weight="column"), 0))
     assert got == oracles.sssp(rows, vertices(rows), 0) and (got[30], got[31]) == (0, 1)
+
+
+def test_bytes_of_rounds_follow_the_segment_formats(spark):
+    from lattica.loop import Run
+
+    vertices_ = 1_098_968
+    bitmap = (vertices_ >> 5) + 2
+    log = [(k, 1, 1, 1, "push", 0.0, n, vertices_) for k, n in enumerate((0, 100_000, 100_001, 274_466, 1_000_001))]
+    got = [r.message_bytes for r in Run(spark.range(1), log).metrics().orderBy("round").collect()]
+    assert got == [4 * n for n in (5, 200_005, 5 + bitmap + 100_001, 5 + bitmap + 274_466, 5 + bitmap + vertices_)]
