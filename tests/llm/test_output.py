@@ -151,3 +151,64 @@ def test_ids_equal_the_tokenizer(spark, monkeypatch):
         start += len(ids)
     assert sum(len(r.ids) for r in op9_ids.read(files).collect()) == start
     assert op9_ids.digest(op9_ids.write(h.frame(spark, []))).count() == 0
+
+
+def test_words_that_repeat_are_phrases():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 6, 300)
+    flat = rng.integers(0, 49_408, int(sizes.sum())).astype(np.uint32)
+    words = np.concatenate((rng.zipf(1.3, 4000).clip(1, 200) - 1, np.arange(200, 300), [299]))
+    ids = np.concatenate([flat[b - n : b] for b, n in zip(np.cumsum(sizes)[words], sizes[words], strict=True)])
+    raw = rangecoder.pack_words([4], np.array([len(ids)]), words, sizes, flat, block=700)
+    names, lengths, back = rangecoder.unpack(raw)
+    assert names == [4] and lengths.tolist() == [len(ids)] and (back == ids).all()
+    # a phrase is one symbol, a word that comes once is as many as it has ids, an empty one is none
+    often = np.bincount(words, minlength=300) > 1
+    assert rangecoder._HEAD.unpack_from(raw)[-1] == int(np.where(often, np.minimum(sizes, 1), sizes)[words].sum())
+    assert len(raw) < len(rangecoder.pack([4], [len(ids)], ids, block=700))
+
+
+def test_range_coder_finds_any_damage():
+    raw = rangecoder.pack([1, 2], [500, 400], np.random.default_rng(4).zipf(1.3, 900).clip(0, 49_000).astype(np.uint32), block=128)
+    for at in range(0, len(raw), 7):
+        with pytest.raises(ValueError):
+            rangecoder.unpack(raw[:at] + bytes([raw[at] ^ 4]) + raw[at + 1 :])
+
+
+def test_words_are_cut_as_the_tokenizer_cuts():
+    import random
+
+    pick = random.Random(3)
+    letters = [*"abcXYZTKßéÉÀÿŸñ×÷'|<>=_-.,!?09²½ªºİıœŒ中あ👍", "\u0300", "\u0338", "\u0308", "\u0301", "\u00a0", "\u0085", "\u3000", "\x00", "\x1c", "'s", "'T", "<|startoftext|>", "T\u0308", "e\u0301", " ", "\n", "\x0b", *"etaoin" * 4]
+    texts = ["".join(pick.choices(letters, k=pick.randrange(50))) for _ in range(3000)]
+    pieces, file = op9_ids._Pieces(op9_ids.tokenizer_path()), op9_ids._File()
+    data = [t.encode() for t in texts]
+    file.add(list(range(len(texts))), np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
+    _, lengths, ids = rangecoder.unpack(file.packed(pieces)[0])
+    want = [[*e.ids, 1] for e in pieces.whole.encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_a_tokenizer_of_other_rules_gets_whole_words(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+    import pyarrow as pa
+
+    other = Tokenizer.from_file(op9_ids.tokenizer_path())
+    other.normalizer = normalizers.NFD()
+    other.save(str(tmp_path / "other.json"))
+    pieces = op9_ids._Pieces(str(tmp_path / "other.json"))
+    words = ["Été,12", "THE", "the"]
+    sizes, flat = pieces.ids(pa.array(words, pa.large_string()))
+    want = [other.encode(w, add_special_tokens=False).ids for w in words]
+    assert pieces.model is None and sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_known_pieces_are_forgotten_beyond_the_bound(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(op9_ids, "_KEPT", 3)
+    pieces = op9_ids._Pieces(op9_ids.tokenizer_path())
+    for words in (["one", "two", "one,two"], ["three", "two!"], ["four", "five", "six", "seven"], ["one"]):
+        sizes, flat = pieces.ids(pa.array(words, pa.large_string()))
+        want = [pieces.whole.encode(w, add_special_tokens=False).ids for w in words]
+        assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
