@@ -39,7 +39,7 @@ from .rangecoder import TOTAL_AT, pack_words, spread, unpack
 END_ID = 1
 #: Bytes of text (and documents) of a file, more than its ids; the last document may go beyond.
 FILE_IDS = 1 << 24
-#: Pieces that a worker keeps the ids of, and pieces merged at once.
+#: Pieces that a worker keeps the ids of from file to file, and pieces merged at once.
 _KEPT, _AT_ONCE = 800_000, 256
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -129,14 +129,20 @@ class _Pieces:
 
     def __init__(self, path: str):
         self.whole, self.model, self.last, self.written = _tokenizer(path)
-        self._forget()
-
-    def _forget(self):
+        # pieces by number, with the numbers of ids of each and the ids
         self.known, self.sizes, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _keep(self, sizes, flat):
+    def _add(self, pieces: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, flat))
 
+    def _forget(self) -> None:
+        """Leave the first _KEPT pieces, among which are the frequent ones."""
+        while len(self.known) > _KEPT:
+            self.known.popitem()
+        self.sizes = self.sizes[:_KEPT]
+        self.flat = self.flat[: int(self.sizes.sum())]
+
     def _merged(self, pieces: list[str]):
         """Numbers of ids of cut pieces, and the ids."""
         texts = [" ".join(pieces[i : i + _AT_ONCE]) for i in range(0, len(pieces), _AT_ONCE)]
@@ -155,9 +161,7 @@ class _Pieces:
     def _numbers(self, pieces: pa.LargeStringArray) -> np.ndarray:
         """Numbers of different pieces, whose ids are known then."""
         data, starts = _bytes(pieces)
-        names = pieces.to_pylist()
-        if len(self.known) + len(names) > _KEPT:
-            self._forget()
+        names = np.insert(data, starts[1:], 0x20).tobytes().decode().split(" ")
         numbers = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
         new = numbers < 0
         ascii_ = np.maximum.reduceat(data, starts) < 128
@@ -170,8 +174,7 @@ class _Pieces:
             if len(at):
                 fresh = [names[i] for i in at.tolist()]
                 numbers[at] = np.arange(len(self.known), len(self.known) + len(at))
-                self.known.update(zip(fresh, numbers[at].tolist(), strict=True))
-                self._keep(*method(fresh))
+                self._add(fresh, *method(fresh))
         return numbers
 
     def ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +186,9 @@ class _Pieces:
         pieces = _strings(low, heads).dictionary_encode()
         which = self._numbers(pieces.dictionary)[pieces.indices.to_numpy()]
         sizes = np.add.reduceat(self.sizes[which], np.searchsorted(heads, starts))
-        return sizes, spread(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, which)
+        flat = spread(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, which)
+        self._forget()
+        return sizes, flat
 
 
 @lru_cache(1)

@@ -45,6 +45,8 @@ _KEEP = np.float32(0.98)
 _TINY = np.float32(1e-20)
 #: Steps whose classes the encoder looks up at once.
 _AHEAD = 64
+#: Runs that are copied at once.
+_STRETCH = 1 << 14
 
 
 def classes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,11 +314,15 @@ def pack_words(doc_ids: list[int | None], lengths: np.ndarray, words: np.ndarray
 
 def spread(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """flat[first[w] : first[w] + sizes[w]] of every w of ``which``, end to end."""
-    count = sizes[which]
-    ends = np.cumsum(count)
-    at = np.repeat(first[which] - ends + count, count)
-    at += np.arange(len(at))
-    return flat[at]
+    out = [flat[:0]]
+    for i in range(0, len(which), _STRETCH):
+        own = which[i : i + _STRETCH]
+        count = sizes[own]
+        ends = np.cumsum(count)
+        at = np.repeat(first[own] - ends + count, count)
+        at += np.arange(len(at))
+        out.append(flat[at])
+    return np.concatenate(out)
 
 
 def _compact(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
