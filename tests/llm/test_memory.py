@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from lattica.llm import op7_neardup
+from lattica.llm import op4_packing, op7_neardup
 
 
 def peak(run, batches):
@@ -36,3 +36,14 @@ def test_a_range_of_labels_is_read_in_chunks(monkeypatch):
 
     few, many = (peak(op7_neardup._neighbours(47.0), labels(n)) for n in (4, 40))
     assert many < 1.5 * few
+
+
+def test_packing_holds_a_shard_at_a_time():
+    def shards(n):
+        for i in range(n):
+            own = range(500 * i, 500 * (i + 1))
+            columns = {"shard": [i] * 500, "doc_id": list(own), "n_tokens": [k * 37 % 1500 for k in own], "source": [f"s{k % 90}" for k in own], "cluster": [f"c{k}" for k in own]}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    few, many = (peak(op4_packing._place(2048), shards(n)) for n in (4, 40))
+    assert many < 1.5 * few
